@@ -7,6 +7,8 @@ import importlib
 #: query -> module; each module has the query as a function, and ORACLE where SQL can express it.
 MODULES = {
     "op4_exact_dedup": "exact_dedup",
+    "op6_toxicity": "toxicity",
+    "op9_quality": "quality",
     "op10_url_filters": "url_filter",
 }
 
