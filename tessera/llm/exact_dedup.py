@@ -17,7 +17,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import ascii_lower, scratch, written
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Session settings while the stream runs. Without preallocation many small state stores take little disk.
+STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Log files that one micro-batch takes. More than one batch only bounds the work between two commits.
 FILES_PER_BATCH = 4096
 
@@ -45,11 +50,10 @@ def stream_state(log: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> Data
     folder = scratch(spark, "exact-log")
     log.write.parquet(folder)
     state = scratch(spark, "exact-state")
-    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled")
-    before = {k: spark.conf.get(k, None) for k in names}
+    before = {k: spark.conf.get(k, None) for k in STATE_CONF}
     try:
-        spark.conf.set(names[0], ROCKSDB)
-        spark.conf.set(names[1], "true")
+        for k, v in STATE_CONF.items():
+            spark.conf.set(k, v)
         rows = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", files_per_batch).parquet(folder)
         seen = rows.groupBy("digest").agg(F.max(F.struct("id", "at")).alias("keep"), F.count("*").alias("n"))
         run = seen.writeStream.outputMode("update").format("noop").option("checkpointLocation", state).trigger(availableNow=True).start()
@@ -58,10 +62,7 @@ def stream_state(log: DataFrame, files_per_batch: int = FILES_PER_BATCH) -> Data
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     held = spark.read.format("statestore").load(state)
-    kind = dict(held.dtypes)["value"]
-    names = [f.name for f in held.schema["value"].dataType.fields]
-    assert len(names) == 2, kind
-    keep, n = (F.col("value").getField(x) for x in names)
+    keep, n = (F.col("value").getField(f.name) for f in held.schema["value"].dataType.fields)
     return held.select(F.col("key.digest").alias("digest"), keep["id"].alias("keep_id"), keep["at"].alias("keep_at"), n.alias("n"))
 
 
