@@ -8,7 +8,6 @@ least rank, and closes the gaps; rows without a mergeable pair leave. Decoding g
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 import sys
 
@@ -237,49 +236,30 @@ def chunks(texts: list[str], most: int = CHUNK_CHARS):
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, ids (array of int), decoded (binary) for each document; null texts count as empty. One narrow pass."""
+    """id, n_tokens, ids (binary, little-endian unsigned 32-bit) and decoded (binary, from the ids) for each document.
 
-    def run(batches):
-        encoder = worker_encoder(vocabulary, pattern)
-        for b in batches:
-            texts = b["t"].tolist()
-            for lo, hi in chunks(texts):
-                ids, at = encoder.encode(texts[lo:hi])
-                parts = [ids[at[i] : at[i + 1]] for i in range(hi - lo)]
-                yield b.iloc[lo:hi][["id"]].assign(ids=[p.astype(np.int32) for p in parts], decoded=[encoder.decode(p) for p in parts])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return _texts(docs, id_col, text_col).mapInPandas(run, f"id {kind}, ids array<int>, decoded binary").withColumnRenamed("id", id_col)
-
-
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-
-
-def token_digests(docs: DataFrame, vocabulary: str, pattern: str, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """n_tokens, ids_sha256 and decoded_sha256 for each document, through the same encoder and decoder.
-
-    Null texts count as empty; repeated rows and null ids give a row each; empty tables give none; other columns aren't
-    read. Digests are taken in the workers, so neither ids nor decoded bytes travel.
+    One narrow pass. Null texts count as empty; repeated rows and null ids give a row each; empty tables give none; other
+    columns aren't read.
     """
 
     def run(batches):
         encoder = worker_encoder(vocabulary, pattern)
-        sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             texts = b["t"].tolist()
             for lo, hi in chunks(texts):
                 ids, at = encoder.encode(texts[lo:hi])
-                ids = ids.astype("<u4")
-                parts = [ids[at[i] : at[i + 1]] for i in range(hi - lo)]
-                whole, sizes = encoder.decode(ids), np.concatenate([[0], np.cumsum(encoder.token_len[ids])])[at]
-                yield b.iloc[lo:hi][["id"]].assign(n_tokens=np.diff(at), ids_sha256=[sha(p.tobytes()) for p in parts], decoded_sha256=[sha(whole[sizes[i] : sizes[i + 1]]) for i in range(hi - lo)])
+                whole, cut = encoder.decode(ids), np.concatenate([[0], np.cumsum(encoder.token_len[ids])])[at]
+                raw = ids.astype("<u4").tobytes()
+                yield b.iloc[lo:hi][["id"]].assign(n_tokens=np.diff(at), ids=[raw[4 * at[i] : 4 * at[i + 1]] for i in range(hi - lo)], decoded=[whole[cut[i] : cut[i + 1]] for i in range(hi - lo)])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return _texts(docs, id_col, text_col).mapInPandas(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)
+    taken = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    return taken.mapInPandas(run, f"id {kind}, n_tokens bigint, ids binary, decoded binary").withColumnRenamed("id", id_col)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    out = encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
