@@ -9,6 +9,7 @@ MODULES = {
     "op2_bpe": "bpe",
     "op4_exact_dedup": "exact_dedup",
     "op6_toxicity": "toxicity",
+    "op7_pii": "pii",
     "op9_quality": "quality",
     "op10_url_filters": "url_filter",
 }
