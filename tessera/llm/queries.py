@@ -10,6 +10,7 @@ MODULES = {
     "op4_exact_dedup": "exact_dedup",
     "op6_toxicity": "toxicity",
     "op7_pii": "pii",
+    "op8_packing": "packing",
     "op9_quality": "quality",
     "op10_url_filters": "url_filter",
 }
