@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op2_bpe": "bpe",
     "op4_exact_dedup": "exact_dedup",
+    "op5_neighbours": "neighbours",
     "op6_toxicity": "toxicity",
     "op7_pii": "pii",
     "op8_packing": "packing",
