@@ -6,6 +6,7 @@ import importlib
 
 #: query -> module; each module has the query as a function, and ORACLE where SQL can express it.
 MODULES = {
+    "op1_suffix_dedup": "suffix_dedup",
     "op2_bpe": "bpe",
     "op4_exact_dedup": "exact_dedup",
     "op5_neighbours": "neighbours",
