@@ -49,6 +49,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, id_col: str, name: str) -> DataFrame:
+    """``df`` with a bigint ``name`` that tells its rows apart: the id where ids are unique and never null, else a number given in a written table."""
+    whole = dict(df.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
+    if whole and not df.groupBy(F.col(id_col).alias("i")).count().where("count > 1 or i is null").take(1):
+        return df.withColumn(name, F.col(id_col).cast("bigint"))
+    return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-case A-Z only. Texts of ASCII alone take the fast path, on which ``lower`` does the same."""
     return F.when(F.length(c) == F.octet_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

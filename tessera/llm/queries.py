@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_suffix_dedup": "suffix_dedup",
     "op2_bpe": "bpe",
+    "op3_ngram_join": "ngram_join",
     "op4_exact_dedup": "exact_dedup",
     "op5_neighbours": "neighbours",
     "op6_toxicity": "toxicity",

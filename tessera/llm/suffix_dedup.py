@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import numbered, written
 
 WIDTH = 400
 GRAM = 16
@@ -377,16 +377,6 @@ def _hot_windows(texts: DataFrame, count: int, width: int, floor: int) -> DataFr
     return found.where("w1 IS NULL").select("doc", "s", "e").unionByName(across.select("doc", "s", "e"))
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, id, t): doc is the id where ids are unique and never null, else a number given in a written table."""
-    out = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    whole = dict(docs.dtypes)[id_col] in ("bigint", "int", "smallint", "tinyint")
-    unclear = not whole or bool(out.groupBy("id").count().where("count > 1 or id is null").take(1))
-    if unclear:
-        return written(out.withColumn("doc", F.monotonically_increasing_id()), "suffix-docs")
-    return out.withColumn("doc", F.col("id").cast("bigint"))
-
-
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, hot: int = HOT_REGIONS) -> DataFrame:
     """id, n_bytes, spans (removed runs), kept (binary, what is left) for each document.
 
@@ -394,7 +384,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Repeated rows are documents of their own, so their strings repeat; null ids and repeated ids are told apart by row.
     Empty tables give none; other columns aren't read.
     """
-    named = keyed(docs, id_col, text_col)
+    named = numbered(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")), "id", "doc")
     spans = repeated_spans(named.select("doc", "t"), width=width, hot=hot)
     kind = docs.schema[id_col].dataType.simpleString()
 
