@@ -31,13 +31,13 @@ from tessera.llm.common import numbered, written
 
 WIDTH = 400
 GRAM = 16
-#: Bytes that one numpy pass works on; longer texts are one pass each.
-PASS_BYTES = 6_000_000
+#: Bytes that one numpy pass works on (some 150 times as many are held meanwhile); longer texts go in overlapping pieces.
+PASS_BYTES = 1 << 20
 #: Tokens sampled for splitters.
 SAMPLE = 100_000
 #: Rows that a bucket sorts, and bytes of regions that it holds, about.
-BUCKET_ROWS = 1_000_000
-BUCKET_BYTES = 12_000_000
+BUCKET_ROWS = 500_000
+BUCKET_BYTES = 6_000_000
 #: Regions of one t1 beyond which windows are sent in their place.
 HOT_REGIONS = 20_000
 
@@ -159,18 +159,23 @@ def _gathered(batches) -> pd.DataFrame | None:
     return pd.concat(parts, ignore_index=True) if parts else None
 
 
-def _texts(batch: pd.DataFrame):
-    """Texts of a batch as bytes, in groups of ``PASS_BYTES``: (rows, texts)."""
-    rows, raws, size = [], [], 0
+def _passes(batch: pd.DataFrame, width: int):
+    """Texts of a batch as bytes, some ``PASS_BYTES`` at a time: (rows, places in their texts, pieces).
+
+    Pieces of a long text overlap by all but a byte of a window, so each window lies in exactly one.
+    """
+    rows, at, raws, size = [], [], [], 0
     for i, t in enumerate(batch["t"]):
-        raw = t.encode("utf-8", "surrogatepass") if isinstance(t, str) else t
-        rows.append(i), raws.append(raw)
-        size += len(raw)
-        if size >= PASS_BYTES:
-            yield rows, raws
-            rows, raws, size = [], [], 0
+        whole = t.encode("utf-8", "surrogatepass")
+        for base in range(0, max(1, len(whole) - width + 1), PASS_BYTES):
+            raw = whole[base : base + PASS_BYTES + width - 1]
+            rows.append(i), at.append(base), raws.append(raw)
+            size += len(raw)
+            if size >= PASS_BYTES:
+                yield np.array(rows), np.array(at), raws
+                rows, at, raws, size = [], [], [], 0
     if rows:
-        yield rows, raws
+        yield np.array(rows), np.array(at), raws
 
 
 def repeated_spans(docs: DataFrame, *, width: int = WIDTH, hot: int = HOT_REGIONS) -> DataFrame:
@@ -193,7 +198,7 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, hot: int = HOT_REGION
 
     def first_tokens(batches):
         for b in batches:
-            for _, raws in _texts(b):
+            for _, _, raws in _passes(b, width):
                 yield pd.DataFrame({"k": anchored(raws, width)[3]})
 
     few = long.where(F.pmod(F.xxhash64("doc"), F.lit(one_in)) == 0) if one_in > 1 else long
@@ -202,9 +207,9 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, hot: int = HOT_REGION
     def suffixes(batches):
         for b in batches:
             ids = b["doc"].to_numpy()
-            for rows, raws in _texts(b):
+            for rows, at, raws in _passes(b, width):
                 own, first, extent, t1, t2 = anchored(raws, width)
-                doc = ids[rows][own]
+                doc, first = ids[rows][own], first + at[own]
                 yield pd.DataFrame({"bucket": splitters(t1, doc + first), "t1": t1, "t2": t2, "doc": doc, "at": (first << 8) | extent})
 
     def compare(batches):
