@@ -19,23 +19,24 @@ def unit(*keys) -> Column:
     return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
 
 
-def permuted(x: Column, bits: int, seed: int, rounds: int = 6) -> Column:
-    """A pseudo-random permutation of 0..2**bits-1 as an expression: each round mixes one half of the bits into the other.
+def permuted(df: DataFrame, columns: list[str], bits: int, seed: int, rounds: int = 4) -> DataFrame:
+    """``df`` with ids 0..2**bits-1 in ``columns`` replaced by a pseudo-random permutation of them.
 
-    Every step can be undone, so it is a bijection; nothing is sorted, shuffled or joined.
+    Each round mixes one half of an id's bits into the other. Every step can be undone, so it is a bijection; nothing is
+    sorted, shuffled or joined. A round is a projection of its own, as expressions nested over all rounds would grow
+    exponentially.
     """
     if bits < 2:
-        return x
+        return df
     low = bits // 2
-    high = bits - low
+    sizes = {"a": bits - low, "b": low}
+    rest = [c for c in df.columns if c not in columns]
+    df = df.select(*rest, *[F.shiftrightunsigned(c, low).alias(f"_a_{c}") for c in columns], *[F.col(c).bitwiseAND(F.lit((1 << low) - 1)).alias(f"_b_{c}") for c in columns])
     for r in range(rounds):
-        a, b = F.shiftrightunsigned(x, low), x.bitwiseAND(F.lit((1 << low) - 1))
-        if r % 2 == 0:
-            b = b.bitwiseXOR(uniform_int(1 << low, a, seed + r))
-        else:
-            a = a.bitwiseXOR(uniform_int(1 << high, b, seed + r))
-        x = F.shiftleft(a, low) + b
-    return x
+        to, by = ("b", "a") if r % 2 == 0 else ("a", "b")
+        mixed = [F.col(f"_{to}_{c}").bitwiseXOR(uniform_int(1 << sizes[to], F.col(f"_{by}_{c}"), seed + r)).alias(f"_{to}_{c}") for c in columns]
+        df = df.select(*rest, *mixed, *[f"_{by}_{c}" for c in columns])
+    return df.select(*rest, *[(F.shiftleft(f"_a_{c}", low) + F.col(f"_b_{c}")).alias(c) for c in columns])
 
 
 def numbered(df: DataFrame, order: list[Column], name: str, tables: Tables) -> DataFrame:

@@ -468,5 +468,5 @@ def generate_weights(spark, sf):
 
 @register("generate_permutation", "SELECT count(*) AS ids, count(DISTINCT id) AS images, min(id) AS least, max(id) AS most FROM (SELECT unnest(range(2048)) AS id)")
 def generate_permutation(spark, sf):
-    p = spark.range(2048).select(permuted(F.col("id"), 11, 5).alias("p"))
-    return p.agg(F.count("*").alias("ids"), F.count_distinct("p").alias("images"), F.min("p").alias("least"), F.max("p").alias("most"))
+    p = permuted(spark.range(2048), ["id"], 11, 5)
+    return p.agg(F.count("*").alias("ids"), F.count_distinct("id").alias("images"), F.min("id").alias("least"), F.max("id").alias("most"))

@@ -40,7 +40,7 @@ def rmat_edges(spark: SparkSession, scale: int, degree: int = DEGREE, seed: int
     out = rows.select("pos", src.alias("src"), dst.alias("dst"))
     if not permute:
         return out
-    return out.select("pos", permuted(F.col("src"), scale, seed).alias("src"), permuted(F.col("dst"), scale, seed).alias("dst"))
+    return permuted(out, ["src", "dst"], scale, seed)
 
 
 def generate_edges(spark: SparkSession, scale: int, degree: int = DEGREE, *, uniform: bool = False, seed: int = SEED) -> DataFrame:
