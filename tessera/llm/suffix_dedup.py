@@ -32,7 +32,7 @@ from tessera.llm.common import numbered, written
 WIDTH = 400
 GRAM = 16
 #: Bytes that one numpy pass works on (some 150 times as many are held meanwhile); longer texts go in overlapping pieces.
-PASS_BYTES = 1 << 20
+PASS_BYTES = 1 << 19
 #: Tokens sampled for splitters.
 SAMPLE = 100_000
 #: Rows that a bucket sorts, and bytes of regions that it holds, about.
