@@ -13,13 +13,17 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import defaultdict
 from dataclasses import dataclass, field
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from tessera.llm.common import written
 from tessera.llm.supervised import TRAIN_ROWS, remainder, score_all, sigmoid, training_rows
 
 # Closed word classes in English, German, French and Spanish.
@@ -38,51 +42,53 @@ _BEGINNINGS = range(4, 9)
 PATTERNS = ("insult", "aimed", "negated", "reported", "threat", "aimed_threat")
 
 
-def induce(texts: list[str], y: np.ndarray, doubt: float = 0.01) -> dict[str, float]:
+def _neighbourhoods(text: str, y: int) -> set[tuple[str, int, int]]:
+    """(word, label, hash of the words beside it) of a text, each once."""
+    words = _WORD.findall(text.lower())
+    return {(w, y, zlib.crc32(f"{a} {b}".encode("utf-8", "surrogatepass"))) for a, w, b in zip(["", *words], words, [*words[1:], ""], strict=False)}
+
+
+def occurrences(sample: DataFrame) -> DataFrame:
+    """(w, pos, neg) for words and, with a star, for word beginnings: occurrences in toxic and other texts of the sample.
+
+    Occurrences count by distinct neighbours, so copies of a document count once.
+    """
+
+    def run(batches):
+        for b in batches:
+            found = set().union(*(_neighbourhoods(t, y) for t, y in zip(b["text"], b["y"], strict=True)))
+            yield pd.DataFrame(list(found), columns=["w", "y", "c"])
+
+    words = sample.select("text", "y").mapInPandas(run, "w string, y int, c bigint").distinct().groupBy("w").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    starts = F.array(F.col("w"), *[F.when(F.length("w") >= n, F.concat(F.substring("w", 1, n), F.lit("*"))) for n in _BEGINNINGS])
+    long_enough = words.select(F.explode(F.array_compact(starts)).alias("x"), "pos", "neg")
+    return long_enough.groupBy(F.col("x").alias("w")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+
+
+def induce(sample: DataFrame, doubt: float = 0.01) -> dict[str, float]:
     """Insults from labelled texts: a word, or ``beginning*``, with its weight.
 
-    Occurrences count by distinct neighbours, so copies of a document count once. An entry must be commoner in toxic
-    texts beyond doubt, for all candidates together (Chernoff bound); the shortest beginning that has the evidence of
-    the longer ones stands for them.
+    An entry must be commoner in toxic texts beyond doubt, for all candidates together (Chernoff bound); the shortest
+    beginning that has the evidence of the longer ones stands for them. Only entries that are nearly always toxic reach the
+    driver.
     """
-    around: tuple[dict, dict] = (defaultdict(set), defaultdict(set))
-    total = [0, 0]
-    for text, label in zip(texts, y, strict=True):
-        words = _WORD.findall(text.lower())
-        own = around[int(label)]
-        for a, w, b in zip(["", *words], words, [*words[1:], ""], strict=False):
-            own[w].add(hash((a, b)) & 0xFFFFFFFF)
-        total[int(label)] += 1
-    if not total[1] or not total[0]:
+    counted = written(occurrences(sample), "toxic-words")
+    whole = counted.agg(F.count("*").alias("n"), F.sum(F.when(~F.col("w").endswith("*"), F.col("pos"))).alias("pos"), F.sum(F.when(~F.col("w").endswith("*"), F.col("neg"))).alias("neg")).first()
+    if not whole.pos or not whole.neg:
         return {}
-    counts: dict[str, list[int]] = defaultdict(lambda: [0, 0])
-    for k in (0, 1):
-        for w, seen in around[k].items():
-            counts[w][k] += len(seen)
-            for n in _BEGINNINGS:
-                if len(w) >= n:
-                    counts[w[:n] + "*"][k] += len(seen)
-    everything = sum(len(s) for s in around[1].values()), sum(len(s) for s in around[0].values())
-    base = everything[0] / sum(everything)
-    need = math.log(max(len(counts), 1) / doubt)
-    found: dict[str, tuple[float, int, float]] = {}
-    for w, (neg, pos) in counts.items():
-        n = pos + neg
-        share = (pos - 0.5) / n if n else 0
-        if pos < 5 or share < 0.9:
-            continue
-        evidence = n * (share * math.log(share / base) + (1 - share) * math.log(max(1 - share, 1e-12) / (1 - base)))
-        if evidence > need:
-            found[w] = (evidence, pos, math.log((pos + 0.5) / (neg + 0.5)))
+    base, need = whole.pos / (whole.pos + whole.neg), math.log(max(whole.n, 1) / doubt)
+    rows = {r.w: (r.pos, r.neg) for r in counted.where("pos >= 5 and pos - 0.5 >= 0.9 * (pos + neg)").collect()}
     out: dict[str, float] = {}
-    for w, (_, pos, weight) in sorted(found.items(), key=lambda x: (len(x[0].rstrip("*")), x[0])):
+    for w, (pos, neg) in sorted(rows.items(), key=lambda x: (len(x[0].rstrip("*")), x[0])):
+        n, share = pos + neg, (pos - 0.5) / (pos + neg)
+        evidence = n * (share * math.log(share / base) + (1 - share) * math.log(max(1 - share, 1e-12) / (1 - base))) if share > base else 0.0
         stem = w.rstrip("*")
-        shorter = [out_w for n in range(1, len(stem) + 1) if (out_w := stem[:n] + "*") in out]
-        if shorter:
+        if evidence <= need or any(stem[:k] + "*" in out for k in range(1, len(stem) + 1)):
             continue
-        if w.endswith("*") and counts.get(stem, [0, 0])[1] == pos:  # the beginning has no more than the word itself
-            continue
-        out[w] = weight
+        # Where something longer has all its occurrences, that is meant: a word, say, and not all that begins like it.
+        same = [x for x, (p, q) in rows.items() if x.startswith(stem) and p == pos and q == neg]
+        meant = max(same, key=lambda x: (len(x.rstrip("*")), not x.endswith("*")))
+        out[meant] = math.log((pos + 0.5) / (neg + 0.5))
     return out
 
 
@@ -189,16 +195,29 @@ class Grammar:
             rows.append((1.0, math.log1p(held), math.log1p(sum(m.get(k, 0.0) for k in ("negated", "reported")))))
         return np.array(rows).reshape(len(texts), 3)
 
-    def calibrate(self, texts: list[str], y: np.ndarray, steps: int = 60) -> Grammar:
-        """Ridge-penalised logistic regression (Newton) towards the starting weights."""
-        if len(y):
-            x, w0 = self.pooled(texts), self.weights
-            w = w0.copy()
-            for _ in range(steps):
-                p = sigmoid(x @ w)
-                g = x.T @ (y - p) - 0.5 * (w - w0)
-                w = w + np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(3), g)
-            self.weights = w
+    def calibrate(self, x: np.ndarray, y: np.ndarray, steps: int = 100) -> Grammar:
+        """Ridge-penalised logistic regression of the labels on pooled matches, towards the starting weights.
+
+        Newton steps, halved until the penalised likelihood doesn't fall.
+        """
+        if not len(y):
+            return self
+        w0 = w = self.weights
+
+        def loss(w):
+            z = x @ w
+            return float(np.sum(np.logaddexp(0, z) - y * z) + 0.25 * np.sum((w - w0) ** 2))
+
+        now = loss(w)
+        for _ in range(steps):
+            p = sigmoid(x @ w)
+            step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(3), x.T @ (y - p) - 0.5 * (w - w0))
+            while (after := loss(w + step)) > now and np.abs(step).max() > 1e-9:
+                step = step / 2
+            if now - after < 1e-9:
+                break
+            w, now = w + step, after
+        self.weights = w
         return self
 
     def score(self, texts: list[str]) -> np.ndarray:
@@ -206,11 +225,21 @@ class Grammar:
 
 
 def learn(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> Grammar:
-    """Learns insults and calibration from at most ``rows`` labelled documents whose crc32(doc_id) mod 4 is not 2."""
-    got = training_rows(docs, labels, "toxic", lambda i: remainder(i, 4) != 2, rows=rows).toPandas().sort_values("id", kind="stable")
-    texts, y = got["text"].tolist(), got["y"].to_numpy(dtype=np.float64)
-    insults = {w: 3.0 for w in SEEDS} | induce(texts, y)
-    return Grammar(insults).calibrate(texts, y)
+    """Learns insults and calibration from at most ``rows`` labelled documents whose crc32(doc_id) mod 4 is not 2.
+
+    The sample is a small table; words are counted and matched by the executors, and the driver gets figures.
+    """
+    sample = written(training_rows(docs, labels, "toxic", lambda i: remainder(i, 4) != 2, rows=rows), "toxic-sample")
+    grammar = Grammar({w: 3.0 for w in SEEDS} | induce(sample))
+
+    def pool(batches):
+        for b in batches:
+            x = grammar.pooled(b["text"].tolist())
+            yield pd.DataFrame({"id": b["id"], "y": b["y"], "a": x[:, 1], "b": x[:, 2]})
+
+    got = sample.mapInPandas(pool, "id bigint, y int, a double, b double").toPandas().sort_values(["id", "y", "a", "b"], kind="stable")
+    x = np.column_stack([np.ones(len(got)), got["a"], got["b"]]).astype(float)
+    return grammar.calibrate(x, got["y"].to_numpy(dtype=np.float64))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> DataFrame:
