@@ -14,8 +14,6 @@ follows could use a shorter match, and a match may start within a run only where
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -228,9 +226,17 @@ def _calibrated(z: np.ndarray, y: np.ndarray, precision: float) -> float:
     return float(z[order][last[-1]]) - 1e-6 if len(last) else float("inf")
 
 
-@functools.lru_cache(maxsize=1)
-def _model(token: int):
-    spark = SparkSession.getActiveSession()
+_TRAINED: list = []
+
+
+def trained(spark: SparkSession):
+    """(weighted trees, a threshold for each kind); made once in a driver, the same each time."""
+    if not _TRAINED:
+        _TRAINED.append(_train(spark))
+    return _TRAINED[0]
+
+
+def _train(spark: SparkSession):
     rows = synthetic(spark).select("id", "y", F.expr(f"{featured('cands')}[0].f").alias("f")).select("id", "y", "f.*").orderBy("id").collect()
     x = np.array([[r[k] for k in FEATURES] for r in rows])
     y = np.array([r["y"] for r in rows], dtype=float)
@@ -241,11 +247,6 @@ def _model(token: int):
     return trees, [_calibrated(z[held & (kind == k)], y[held & (kind == k)], PRECISION) for k in range(len(KINDS))]
 
 
-def trained():
-    """(weighted trees, a threshold for each kind); made once in a driver, the same each time."""
-    return _model(0)
-
-
 def _tree_sql(tree, names: list[str]) -> str:
     if not isinstance(tree, tuple):
         return f"{tree:.6f}D"
@@ -253,9 +254,9 @@ def _tree_sql(tree, names: list[str]) -> str:
     return f"CASE WHEN c.f.{names[f]} < {cut!r}D THEN {_tree_sql(a, names)} ELSE {_tree_sql(b, names)} END"
 
 
-def selected(cands: str) -> str:
+def selected(spark: SparkSession, cands: str) -> str:
     """SQL: the featured candidates that the trees accept, as array<struct<k, s, e>>."""
-    trees, cuts = trained()
+    trees, cuts = trained(spark)
     names = list(FEATURES)
     z = " + ".join(f"{w!r}D * ({_tree_sql(t, names)})" for w, t in trees)
     cut = "CASE " + " ".join(f"WHEN c.k = {i} THEN {v!r}D" for i, v in enumerate(cuts) if np.isfinite(v)) + " ELSE double('Infinity') END"
@@ -278,7 +279,7 @@ def find_pii(docs: DataFrame, *, text_col: str = "text", prefix: str = "pii_") -
     base = ", ".join(f"transform(b_{k}, x -> named_struct('k', {KINDS.index(k)}, 's', x.s, 'e', x.e))" for k in BASE)
     df = df.withColumn(f"{prefix}base", F.expr(f"concat({base})"))
     df = df.withColumn("_f", F.expr(f"CASE WHEN size(cands) > 0 THEN {featured('cands')} END"))
-    df = df.withColumn(f"{prefix}spans", F.expr(f"CASE WHEN size(cands) > 0 THEN array_sort(array_distinct(concat({prefix}base, {selected('_f')}))) ELSE {prefix}base END"))
+    df = df.withColumn(f"{prefix}spans", F.expr(f"CASE WHEN size(cands) > 0 THEN array_sort(array_distinct(concat({prefix}base, {selected(docs.sparkSession, '_f')}))) ELSE {prefix}base END"))
     return df.select(*[c for c in names if c not in (f"{prefix}base", f"{prefix}spans")], f"{prefix}base", f"{prefix}spans")
 
 
