@@ -1,0 +1 @@
+"""Kept for streaming operators. The graph engine has none: its frontiers are tables of a step, not streams of events."""
