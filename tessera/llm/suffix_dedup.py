@@ -154,6 +154,13 @@ def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartitionById(buckets, F.col("bucket"))
 
 
+def _slices(batches, rows: int = 512):
+    """Batches in short slices, so that what is made from one is small."""
+    for b in batches:
+        for i in range(0, len(b), rows):
+            yield b.iloc[i : i + rows]
+
+
 def _gathered(batches) -> pd.DataFrame | None:
     parts = [b for b in batches if len(b)]
     return pd.concat(parts, ignore_index=True) if parts else None
@@ -245,12 +252,16 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, hot: int = HOT_REGION
             cuts.cuts = np.linspace(-(2**63), 2**63 - 1, wide + 1)[1:-1].astype(np.int64)
 
         def regions(batches):
-            for b in batches:
+            for b in _slices(batches):
+                out = []
                 for doc, raw, a in _unpacked(b):
-                    a = [x for x in a if x["kind"] < 3]
-                    t1 = np.array([x["t1"] for x in a], np.int64)
-                    first = [x["at"] >> 8 for x in a]
-                    yield pd.DataFrame({"bucket": np.searchsorted(cuts.cuts, t1, "right").astype(np.int32), "doc": doc, "first": first, "asked": [x["kind"] == 1 for x in a], "region": [raw[f : f + (x["at"] & 255) + width] for f, x in zip(first, a, strict=True)]})
+                    for x in a:
+                        if x["kind"] < 3:
+                            first = x["at"] >> 8
+                            out.append((x["t1"], doc, first, x["kind"] == 1, raw[first : first + (x["at"] & 255) + width]))
+                if out:
+                    t1, doc, first, asked_, region = zip(*out, strict=True)
+                    yield pd.DataFrame({"bucket": np.searchsorted(cuts.cuts, np.array(t1, np.int64), "right").astype(np.int32), "doc": doc, "first": first, "asked": asked_, "region": region})
 
         def windows_of(batches):
             b = _gathered(batches)
@@ -277,7 +288,7 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, hot: int = HOT_REGION
     )
 
     def union(batches):
-        for b in batches:
+        for b in _slices(batches):
             out = []
             for a in b["a"]:
                 runs: list[list[int]] = []
@@ -319,7 +330,7 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in _slices(batches):
             yield pd.DataFrame({"doc": b["doc"], "z": [z.compress(t.encode("utf-8", "surrogatepass")) for t in b["t"]]})
 
     return docs.select("doc", "t").mapInPandas(run, "doc bigint, z binary")
@@ -395,14 +406,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     def pack(batches):
         z = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in _slices(batches):
             yield b.assign(t=[z.compress(t.encode("utf-8", "surrogatepass")) for t in b["t"]])
 
     texts = named.select("doc", "id", "t").mapInPandas(pack, f"doc bigint, id {kind}, t binary")
 
     def cut(batches):
         z = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in _slices(batches):
             n, runs, left = [], [], []
             for packed, spans_ in zip(b["t"], b["spans"], strict=True):
                 raw, at, kept = z.decompress(packed), 0, []
