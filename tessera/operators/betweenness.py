@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.bfs import COMPACT
 from tessera.plans.graph import Graph
 from tessera.plans.loop import Tables
 
@@ -21,7 +22,7 @@ def dependencies(graph: Graph, sources: list[int]) -> DataFrame:
     edges = graph.by_source().select("src", "dst")
     start = spark.range(len(sources)).select(F.get(F.array(*[F.lit(s).cast("bigint") for s in sources]), F.col("id").cast("int")).alias("s"))
     level, _ = tables.write(start.distinct().select("s", F.col("s").alias("id"), F.lit(0).alias("depth"), F.lit(1.0).alias("sigma")), "forward")
-    levels, visited = [level], level
+    levels, visited, parts = [level], level, list(tables.made["forward"])
     while True:
         reached = level.select("s", F.col("id").alias("src"), "sigma").join(edges, "src").groupBy("s", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
         fresh = reached.join(visited.select("s", "id"), ["s", "id"], "left_anti").select("s", "id", F.lit(len(levels)).alias("depth"), "sigma")
@@ -29,7 +30,11 @@ def dependencies(graph: Graph, sources: list[int]) -> DataFrame:
         if not seen["n"]:
             break
         levels.append(level)
-        visited = spark.read.schema(fresh.schema).parquet(*tables.made["forward"])
+        parts.append(tables.made["forward"][-1])
+        visited = spark.read.schema(fresh.schema).parquet(*parts)
+        if len(parts) >= COMPACT:
+            visited, _ = tables.write(visited, "visited", keep=1)
+            parts = list(tables.made["visited"])
     below, _ = tables.write(levels[-1].withColumn("delta", F.lit(0.0)), "back")
     for level in reversed(levels[:-1]):
         share = below.select("s", F.col("id").alias("dst"), ((F.lit(1.0) + F.col("delta")) / F.col("sigma")).alias("share"))

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from tessera.plans.graph import Graph
 from tessera.plans.loop import Tables
 
+#: Levels after which what was visited becomes one table, so that deep graphs don't read ever more small ones.
+COMPACT = 32
+
 
 def bfs(graph: Graph, source: int, max_levels: int | None = None) -> DataFrame:
     """(id, depth, parent): depth -1 and parent -1 where unreached; the source is its own parent.
@@ -22,7 +25,7 @@ def bfs(graph: Graph, source: int, max_levels: int | None = None) -> DataFrame:
     edges = graph.by_source()
     start = spark.range(source, source + 1).select("id", F.lit(0).alias("depth"), F.col("id").alias("parent"))
     frontier, _ = tables.write(start, "level")
-    visited, depth = frontier, 0
+    visited, depth, parts = frontier, 0, list(tables.made["level"])
     while max_levels is None or depth < max_levels:
         depth += 1
         reached = frontier.select(F.col("id").alias("src")).join(edges.select("src", "dst"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
@@ -30,5 +33,9 @@ def bfs(graph: Graph, source: int, max_levels: int | None = None) -> DataFrame:
         frontier, seen = tables.write(fresh, "level", n=F.count("*"))
         if not seen["n"]:
             break
-        visited = spark.read.schema(fresh.schema).parquet(*tables.made["level"])
+        parts.append(tables.made["level"][-1])
+        visited = spark.read.schema(fresh.schema).parquet(*parts)
+        if len(parts) >= COMPACT:
+            visited, _ = tables.write(visited, "visited", keep=1)
+            parts = list(tables.made["visited"])
     return graph.vertices().join(visited, "id", "left").select("id", F.coalesce("depth", F.lit(-1)).alias("depth"), F.coalesce("parent", F.lit(-1)).cast("bigint").alias("parent"))

@@ -136,3 +136,15 @@ def test_verifiers_reject(spark, t1, t2):
     assert any(verify.verify_cc(t1, components.afforest(t1).selectExpr("id", "if(comp = 4, 0, comp) comp")).first())
     assert any(verify.verify_pagerank(t1, t1.vertices().selectExpr("id", "0.5D score")).first())
     assert any(verify.verify_triangles(t2, 6).first())
+
+
+def test_deep_graphs(spark, monkeypatch):
+    monkeypatch.setattr("tessera.operators.bfs.COMPACT", 3)
+    monkeypatch.setattr("tessera.operators.betweenness.COMPACT", 3)
+    path = graph(spark, [(i, i + 1, 1) for i in range(9)] + [(4, 1, 1)])
+    assert column(bfs.bfs(path, 0), "depth") == list(range(10))
+    assert {r.id: r.delta for r in betweenness.dependencies(path, [0]).collect()} == {i: 9.0 - i for i in range(10)}
+
+
+def test_unimplemented_never_passes(t1):
+    assert any(verify.verify_unimplemented(t1.edges).first())
