@@ -19,7 +19,7 @@ Tokens are 64-bit rolling hashes; strings are taken as equal when both tokens (1
 
 from __future__ import annotations
 
-import hashlib
+import ctypes
 
 import numpy as np
 import pandas as pd
@@ -154,15 +154,30 @@ def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartitionById(buckets, F.col("bucket"))
 
 
+def _trimmed(batches):
+    """Batches; between them and at the end, freed memory goes back to the system, as reused workers would keep it."""
+    try:
+        trim = ctypes.CDLL(None).malloc_trim
+    except (AttributeError, OSError):  # another C library
+
+        def trim(_):
+            return 0
+
+    for b in batches:
+        yield b
+        trim(0)
+    trim(0)
+
+
 def _slices(batches, rows: int = 512):
     """Batches in short slices, so that what is made from one is small."""
-    for b in batches:
+    for b in _trimmed(batches):
         for i in range(0, len(b), rows):
             yield b.iloc[i : i + rows]
 
 
 def _gathered(batches) -> pd.DataFrame | None:
-    parts = [b for b in batches if len(b)]
+    parts = [b for b in _trimmed(batches) if len(b)]
     return pd.concat(parts, ignore_index=True) if parts else None
 
 
@@ -212,7 +227,7 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, hot: int = HOT_REGION
     splitters = Splitters(few.select("t").mapInPandas(first_tokens, "k bigint").limit(4 * SAMPLE).toPandas()["k"].to_numpy(np.int64), buckets)
 
     def suffixes(batches):
-        for b in batches:
+        for b in _trimmed(batches):
             ids = b["doc"].to_numpy()
             for rows, at, raws in _passes(b, width):
                 own, first, extent, t1, t2 = anchored(raws, width)
