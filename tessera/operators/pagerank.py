@@ -30,7 +30,7 @@ def pagerank(graph: Graph, max_iters: int = 20, epsilon: float = 1e-4, damping:
     n, tables = graph.num_nodes, Tables(graph.spark, "pagerank")
     parts = int(graph.spark.conf.get("spark.sql.shuffle.partitions"))
     degree = graph.edges.groupBy("src").agg(F.count("*").alias("degree"))
-    edges = graph.edges.select("src", "dst").join(degree, "src").repartition(parts, "src").persist()
+    edges = graph.edges.select("src", "dst").join(degree, "src").repartition(parts, "src").sortWithinPartitions("src").persist()
     scores, _ = tables.write(graph.vertices().select("id", F.lit(1.0 / n if n else 0.0).alias("score")), "scores")
     done, error = 0, float("inf")
     try:

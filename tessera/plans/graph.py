@@ -50,13 +50,13 @@ class Graph:
     # --- physical form
 
     def by_source(self) -> DataFrame:
-        """Edges hash-partitioned by source and kept that way, so that iterations shuffle vertex state only.
+        """Edges hash-partitioned and sorted by source and kept that way, so that iterations shuffle and sort vertex state only.
 
         Kept partitions that are lost with an executor are made again from ``edges``.
         """
         if self._by_src is None:
             n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            self._by_src = self.edges.repartition(n, "src").persist(StorageLevel.MEMORY_AND_DISK)
+            self._by_src = self.edges.repartition(n, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
         return self._by_src
 
     def release(self) -> None:
