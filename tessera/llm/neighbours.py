@@ -153,16 +153,38 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def _together(ids: np.ndarray, x: np.ndarray, most: int | None) -> tuple[list, np.ndarray]:
-    """Identical vectors taken together: their smallest ids (all, without ``most``), and one vector each."""
+    """Identical vectors taken together: their smallest distinct ids (all, without ``most``), and one vector each."""
     if not len(ids):
         return [], x
     order = np.lexsort((ids, *x.T[::-1]))
     x, ids = x[order], ids[order]
-    new = np.flatnonzero(np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)]))
+    other = (x[1:] != x[:-1]).any(axis=1)
+    once = np.concatenate([[True], other | (ids[1:] != ids[:-1])])
+    x, ids = x[once], ids[once]
+    new = np.flatnonzero(np.concatenate([[True], other[once[1:]]]))
     ends = np.append(new[1:], len(ids))
     return [ids[a : b if most is None else min(b, a + most)] for a, b in zip(new, ends, strict=True)], x[new]
 
 
+def _nearest(ids: list, d: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ``most`` nearest distinct ids, each at its least distance, ties to the smaller id. ``ids``: those at each distance.
+
+    Ids may repeat, so more and more of the nearest places are taken until they hold enough distinct ones.
+    """
+    take = most
+    while True:
+        near = np.arange(len(d)) if len(d) <= take else np.flatnonzero(d <= np.partition(d, take - 1)[take - 1])
+        if not len(near):
+            return np.zeros(0, np.int64), np.zeros(0)
+        own, far = np.concatenate([ids[i] for i in near]), np.repeat(d[near], [len(ids[i]) for i in near])
+        order = np.lexsort((own, far))
+        own, far = own[order], far[order]
+        first = np.sort(np.unique(own, return_index=True)[1])
+        if len(first) >= most or len(near) == len(d):
+            return own[first[:most]], far[first[:most]]
+        take = 4 * len(near)
+
+
 def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", every: int = 100, k: int = 10, tables: int = TABLES, target: float = TARGET_RECALL) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of each query, nearest first, ties to the smaller id.
 
@@ -174,7 +196,8 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
     spark = vectors.sparkSession
     pts = usable(vectors, id_col, vec_col)
     schema = "query_id long, rank int, vec_id long, score double"
-    taken = pts.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    chosen = pts.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    taken = pts.join(chosen, "id", "left_semi").groupBy("id").agg(F.min("v").alias("v")).orderBy(F.xxhash64("id"), "id").toPandas()
     if not len(taken):
         return spark.createDataFrame([], schema)
     dims = int(taken["v"].map(len).mode().iloc[0])
@@ -238,12 +261,8 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
                     continue
                 at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 d = distances(x[at], np.asarray(v))
-                if len(d) > k + 1:
-                    near = d <= np.partition(d, k)[k]
-                    at, d = at[near], d[near]
-                own, far = np.concatenate([ids[i] for i in at]), np.repeat(d, [len(ids[i]) for i in at])
-                best = np.lexsort((own, far))[: k + 1]
-                out.append((qids, own[best], far[best]))
+                # One more than k distinct ids: a query's own, which goes later, takes no other's place.
+                out.append((qids, *_nearest(ids[at], d, k + 1)))
         return pd.DataFrame(out, columns=["qids", "ids", "scores"])
 
     points = pts.mapInPandas(place, "block long, cell long, ids array<long>, v array<double>")
@@ -252,7 +271,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
     pairs = met.select(F.explode("qids").alias("query_id"), F.arrays_zip("ids", "scores").alias("z")).select("query_id", F.explode("z").alias("z")).select("query_id", F.col("z.ids").alias("vec_id"), F.col("z.scores").alias("score"))
     ranked = written(_ranked(pairs, k), "neighbours")
 
-    wanted = min(k, total - 1)
+    wanted = min(k, pts.select("id").distinct().limit(k + 1).count() - 1)
     asked = pts.where(F.col("id") % every == 0)
     full = ranked.groupBy("query_id").count().where(F.col("count") >= wanted)
     short = asked.join(full, F.col("id") == F.col("query_id"), "left_anti")
@@ -271,23 +290,24 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 
 def _scanned(pts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
     """Exact neighbours of ``asked``: all points pass by the queries, ``SCAN_QUERIES`` at a time."""
-    out, after = None, None
+    out, after = None, F.lit(True)
+    asked = asked.select("id", "v").distinct()
     while True:
-        part = asked.orderBy("id") if after is None else asked.where(F.col("id") > after).orderBy("id")
-        got = part.limit(SCAN_QUERIES).toPandas()
+        got = asked.where(after).orderBy("id", "v").limit(SCAN_QUERIES).toPandas()
         if not len(got):
             break
-        after = int(got["id"].iloc[-1])
+        last = got.iloc[-1]  # an id may have several vectors, on both sides of it
+        same = F.col("id") == int(last["id"])
+        after = (F.col("id") > int(last["id"])) | (same & (F.col("v") > F.array(*(F.lit(float(c)) for c in last["v"]))))
         qids, qx = got["id"].to_numpy(), np.stack(got["v"].to_numpy())
 
         def scan(batches, qids=qids, qx=qx):
             for b in batches:
-                ids, x = b["id"].to_numpy(), np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, qx.shape[1]))
+                ids, x = _together(b["id"].to_numpy(), np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, qx.shape[1])), k + 1)
                 rows = []
                 for q, v in zip(qids, qx, strict=True):
-                    d = distances(x, v)
-                    best = np.lexsort((ids, d))[: k + 1]
-                    rows += zip([q] * len(best), ids[best], d[best], strict=True)
+                    own, far = _nearest(ids, distances(x, v), k + 1)
+                    rows += zip([q] * len(own), own, far, strict=True)
                 yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
         found = pts.mapInPandas(scan, "query_id long, vec_id long, score double")

@@ -147,3 +147,40 @@ def test_neighbours_edge_cases(spark):
     got = sorted((r.query_id, r.rank, r.vec_id) for r in neighbours.search(df).collect())
     assert got == [(0, 1, 2), (0, 2, 3), (0, 3, 1)]
     assert neighbours.search(vectors(spark, [])).collect() == []
+
+
+def test_neighbours_repeated_rows(spark, monkeypatch):
+    """Copies of a row, and many vectors of one id, take no other id's place: by hashing and by the scan."""
+    r = np.random.default_rng(11)
+    x = r.normal(size=(40, 4))
+    rows = [(i, v) for i, v in enumerate(x)]
+    rows += [(0, x[0])] * 50 + [(7, x[7])] * 50  # a query and another row
+    rows += [(9, x[0] + r.normal(size=4) * 1e-3) for _ in range(60)]  # one id, near the query everywhere
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in rows], "vec_id bigint, embedding array<double>").coalesce(1)
+    least = {}
+    for i, v in rows:
+        if i:
+            least[i] = min(least.get(i, np.inf), float(np.linalg.norm(v - x[0])))
+    want = sorted((d, i) for i, d in least.items())[:10]
+    hashed = neighbours.search(df).orderBy("rank").collect()
+    assert [z.query_id for z in hashed] == [0] * 10 and [z.rank for z in hashed] == list(range(1, 11))
+    assert len({z.vec_id for z in hashed}) == 10 and hashed[0].vec_id == 9
+    pts = neighbours.usable(df, "vec_id", "embedding")
+    scanned = neighbours._scanned(pts, pts.where("id = 0"), 10).orderBy("rank").collect()
+    assert [z.vec_id for z in scanned] == [i for _, i in want]
+    # Queries page by page: the vectors of one id go on after a page's end.
+    monkeypatch.setattr(neighbours, "SCAN_QUERIES", 7)
+    paged = neighbours._scanned(pts, pts.where("id IN (0, 9)"), 10).where("query_id = 9").orderBy("rank").collect()
+    own = [v for i, v in rows if i == 9]
+    least = {i: min(float(np.linalg.norm(x[i] - v)) for v in own) for i in range(40) if i != 9}
+    assert [z.vec_id for z in paged] == [i for _, i in sorted((d, i) for i, d in least.items())[:10]]
+
+
+def test_neighbours_nearest_ids():
+    ids = [np.array([5])] * 30 + [np.array([5, 6]), np.array([3]), np.array([2]), np.array([2])]
+    d = np.array([0.0] * 30 + [1.0, 2.0, 2.0, 0.5])
+    own, far = neighbours._nearest(ids, d, 4)
+    assert own.tolist() == [5, 2, 6, 3] and far.tolist() == [0.0, 0.5, 1.0, 2.0]
+    own, _ = neighbours._together(np.array([4, 4, 4, 1, 1, 8]), np.array([[1.0], [1.0], [1.0], [1.0], [2.0], [1.0]]), 2)
+    assert [o.tolist() for o in own] == [[1, 4], [1]]
+
