@@ -50,14 +50,18 @@ def verify_sssp(graph: Graph, source: int, distances: DataFrame) -> DataFrame:
 
 
 def verify_cc(graph: Graph, labels: DataFrame) -> DataFrame:
-    """No edge joins two labels; a label is a member of its component; and there are no more components than labels, as found
-    by reaching out from the labels over the edges."""
+    """No edge joins two labels; a label is the least member of its component; and there are as many labels as components,
+    which are counted by running ``shiloach_vishkin`` over the graph once more.
+
+    ``bad_labels``: rows whose label is null or larger than their id, and those whose label names no vertex or one of another label.
+    """
     from tessera.operators.components import shiloach_vishkin
 
     t = labels.select("id", "comp")
     ends = graph.edges.join(t.select(F.col("id").alias("src"), F.col("comp").alias("a")), "src").join(t.select(F.col("id").alias("dst"), F.col("comp").alias("b")), "dst")
     cross = ends.agg(_bad(F.col("a") != F.col("b"), "cross_edges"))
-    own = t.agg(_bad((F.col("id") == F.col("comp")) & (F.col("comp") > F.col("id")), "bad_labels"), F.abs(F.count("*") - F.lit(graph.num_nodes)).alias("bad_rows"), F.count_distinct("comp").alias("labels"))
+    named = t.join(t.where("id = comp").select(F.col("comp").alias("root")).distinct(), F.col("comp") == F.col("root"), "left")
+    own = named.agg(_bad(F.col("root").isNull() | (F.col("comp") > F.col("id")), "bad_labels"), F.abs(F.count("*") - F.lit(graph.num_nodes)).alias("bad_rows"), F.count_distinct("comp").alias("labels"))
     other = shiloach_vishkin(graph).agg(F.count_distinct("comp").alias("components"))
     return _one_row(cross, own, other).select("cross_edges", "bad_labels", "bad_rows", F.abs(F.col("labels") - F.col("components")).alias("label_difference"))
 

@@ -138,6 +138,14 @@ def test_verifiers_reject(spark, t1, t2):
     assert any(verify.verify_triangles(t2, 6).first())
 
 
+@pytest.mark.parametrize(("comp", "bad"), [("if(comp = 4, 40, comp)", 3), ("if(comp = 4, 6, comp)", 2), ("if(comp = 4, 7, if(comp = 7, 4, comp))", 4), ("if(comp = 4, NULL, comp)", 3)])
+def test_verify_cc_labels(t1, comp, bad):
+    """The same partition under labels that name no vertex, a vertex but the least, or one of another component."""
+    right = components.afforest(t1)
+    assert verify.verify_cc(t1, right).first().bad_labels == 0
+    assert verify.verify_cc(t1, right.selectExpr("id", f"{comp} comp")).first().bad_labels == bad
+
+
 def test_deep_graphs(spark, monkeypatch):
     monkeypatch.setattr("tessera.operators.bfs.COMPACT", 3)
     monkeypatch.setattr("tessera.operators.betweenness.COMPACT", 3)
