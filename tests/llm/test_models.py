@@ -111,6 +111,20 @@ def test_pii_proposals_and_redaction(spark):
     assert {r.doc_id: r.text for r in pii.redacted(df).collect()} == {1: "call [PHONE] [CARD] now", 2: "nothing 12 here", 3: None, 4: "[EMAIL]"}
 
 
+WIDE = [
+    ("write to user(at)example.com now", "email:9:28"), ("contact USER AT EXAMPLE DOT COM for", "email:8:31"), ("contact x at mail dot example dot com for", "email:8:37"),
+    ("the host 2001:db8::1 is", "ip:9:20"), ("host fe80::1:2 up", "ip:5:14"),
+    ("tel 0171 1234567 now", "phone:4:16"), ("phone 01 23 45 67 89 now", "phone:6:20"), ("call 5551234567 now", "phone:5:15"), ("dial 555-1234 now", "phone:5:13"), ("call (030) 123456 now", "phone:5:17"),
+    ("std::vector a::b add::face x", ""), ("in 2024-01-15 we had 12345678 items and 2001-2005", ""), ("meet me at example.com today", ""), ("serial 5551234567 x", ""),
+]
+
+
+def test_pii_wide_generators(spark):
+    df = docs(spark, [(i, t) for i, (t, _) in enumerate(WIDE)])
+    got = {r.doc_id: r.s for r in pii.find_pii(df).select("doc_id", pii.joined("pii_spans").alias("s")).collect()}
+    assert [got[i] for i in range(len(WIDE))] == [s for _, s in WIDE]
+
+
 def vectors(spark, x, ids=None):
     return spark.createDataFrame([(int(i), None if v is None else [None if a is None else float(a) for a in v], 0) for i, v in zip(ids if ids is not None else range(len(x)), x, strict=True)], "vec_id bigint, embedding array<float>, label int").repartition(3)
 
