@@ -153,7 +153,7 @@ def components(edges: DataFrame, name: str = "stars") -> DataFrame:
     spark = edges.sparkSession
     now = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
     before = None
-    for _ in range(64):
+    while True:
         mark = tuple(now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if mark == before or not mark[0]:
             break

@@ -124,3 +124,9 @@ def test_multikey_quicksort():
     a, b = r.integers(-3, 3, 5000), r.integers(-(2**62), 2**62, 5000) >> r.integers(0, 62, 5000)
     o = suffix_dedup.multikey_quicksort(a, b, small=16)
     assert (np.stack([a[o], b[o]]) == np.stack([a, b])[:, np.lexsort((b, a))]).all()
+
+
+def test_components_have_no_bound_of_rounds(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "range", lambda n: [0], raising=False)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a int, b int")
+    assert {(r.node, r.root) for r in ngram_join.components(edges).collect()} == {(i, 0) for i in range(21)}
