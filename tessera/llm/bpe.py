@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches, trimmed
+
 #: Rows of a matrix have at most so many bytes; a longer piece is merged by the same rule with a queue, as its rounds
 #: over whole rows would take quadratic time.
 LONGEST_ROW = 256
@@ -242,9 +244,11 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, id_col:
     columns aren't read.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         encoder = worker_encoder(vocabulary, pattern)
-        for b in batches:
+        for b in trimmed(batches):
             texts = b["t"].tolist()
             for lo, hi in chunks(texts):
                 ids, at = encoder.encode(texts[lo:hi])
@@ -258,6 +262,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, id_col:
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:
+    """``encode_documents`` over all documents with digests of ids and bytes; odd rows as stated there."""
     import public_tokenizers
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

@@ -17,11 +17,13 @@ import sys
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import chunks
+from tessera.llm.common import small_batches, trimmed
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 1 << 16
@@ -162,6 +164,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
     packed like others; empty tables give no row; other columns aren't read.
     """
 
+    small_batches(docs.sparkSession)
+
     def run(batches):
         tokenizer = worker_tokenizer(tokenizer_path)
         base = TaskContext.get().partitionId() * SPAN
@@ -188,10 +192,8 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
                 counter += 1
             return pd.DataFrame(cols, columns=NAMES)
 
-        import pandas as pd
-
         key = 0
-        for b in batches:
+        for b in trimmed(batches):
             texts, docs_ = b["t"].tolist(), b["id"].tolist() if not b["id"].isna().any() else [None if pd.isna(x) else int(x) if isinstance(x, float) else x for x in b["id"]]
             for lo, hi in chunks(texts, chunk_chars):
                 for i in range(lo, hi):
@@ -215,6 +217,7 @@ NAMES = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset",
 
 
 def packed_digests(docs: DataFrame) -> DataFrame:
+    """The pieces of ``pack`` with a checksum in place of their ids; odd rows as stated there."""
     import public_tokenizers
 
     pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
@@ -222,4 +225,5 @@ def packed_digests(docs: DataFrame) -> DataFrame:
 
 
 def op8_packing(spark, sf_dir: str) -> DataFrame:
+    """``packed_digests`` of all documents."""
     return packed_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -15,7 +15,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.supervised import THRESHOLD, TRAIN_ROWS, remainder, score_all, sigmoid, training_rows
+from tessera.llm.common import positional, restored
+from tessera.llm.supervised import THRESHOLD, TRAIN_ROWS, remainder, score_all, scored_column, sigmoid, training_rows
 
 FEATURES = (
     "log_chars", "log_words", "mean_word", "long_words", "distinct_words", "top_word", "repeated_next", "symbols", "digits",
@@ -183,13 +184,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents whose score reaches the threshold, with all their columns."""
-    named = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
-    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    """The documents whose score reaches the threshold, with all their columns.
+
+    Null and empty texts are scored like others, repeated rows alike, and null ids stay or go by their texts. An empty table
+    gives none. Columns may have any names; a text goes to Python once, and only its score comes back.
+    """
     model = learn(docs, labels, **options)
-    scored = score_all(named, lambda texts: model.score(features(texts)), lambda i: remainder(i, 5) == 0, id_col=at["doc_id"], text_col=at["text"], keep=list(named.columns))
-    return scored.where(F.col("score") >= THRESHOLD).select(*[F.col(v).alias(k) for k, v in at.items()])
+    named, at = positional(docs)
+    good = scored_column(lambda texts: model.score(features(texts)), F.col(at["text"])) >= THRESHOLD
+    return restored(named.where(good), at)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
+    """``quality_scores`` of all documents; odd rows as stated there."""
     return quality_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))

@@ -19,15 +19,13 @@ Tokens are 64-bit rolling hashes; strings are taken as equal when both tokens (1
 
 from __future__ import annotations
 
-import ctypes
-
 import numpy as np
 import pandas as pd
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import numbered, written
+from tessera.llm.common import numbered, small_batches, trimmed, written
 
 WIDTH = 400
 GRAM = 16
@@ -154,30 +152,15 @@ def _dealt(rows: DataFrame, buckets: int) -> DataFrame:
     return rows.repartitionById(buckets, F.col("bucket"))
 
 
-def _trimmed(batches):
-    """Batches; between them and at the end, freed memory goes back to the system, as reused workers would keep it."""
-    try:
-        trim = ctypes.CDLL(None).malloc_trim
-    except (AttributeError, OSError):  # another C library
-
-        def trim(_):
-            return 0
-
-    for b in batches:
-        yield b
-        trim(0)
-    trim(0)
-
-
 def _slices(batches, rows: int = 512):
     """Batches in short slices, so that what is made from one is small."""
-    for b in _trimmed(batches):
+    for b in trimmed(batches):
         for i in range(0, len(b), rows):
             yield b.iloc[i : i + rows]
 
 
 def _gathered(batches) -> pd.DataFrame | None:
-    parts = [b for b in _trimmed(batches) if len(b)]
+    parts = [b for b in trimmed(batches) if len(b)]
     return pd.concat(parts, ignore_index=True) if parts else None
 
 
@@ -227,7 +210,7 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, hot: int = HOT_REGION
     splitters = Splitters(few.select("t").mapInPandas(first_tokens, "k bigint").limit(4 * SAMPLE).toPandas()["k"].to_numpy(np.int64), buckets)
 
     def suffixes(batches):
-        for b in _trimmed(batches):
+        for b in trimmed(batches):
             ids = b["doc"].to_numpy()
             for rows, at, raws in _passes(b, width):
                 own, first, extent, t1, t2 = anchored(raws, width)
@@ -415,6 +398,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Repeated rows are documents of their own, so their strings repeat; null ids and repeated ids are told apart by row.
     Empty tables give none; other columns aren't read.
     """
+    small_batches(docs.sparkSession)
     named = numbered(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")), "id", "doc")
     spans = repeated_spans(named.select("doc", "t"), width=width, hot=hot)
     kind = docs.schema[id_col].dataType.simpleString()
@@ -445,5 +429,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
+    """``remove_repeats`` over all documents with the figures of what goes and a digest of what stays; odd rows as stated there."""
     out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))

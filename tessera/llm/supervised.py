@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.llm.common import small_batches, trimmed
+
 #: Labelled rows that a classifier learns from at most, and the longest text among them. Both bound what reaches the
 #: driver; neither touches what is scored.
 TRAIN_ROWS = 8000
@@ -25,6 +27,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Callabl
 
     The chosen labels are bounded by ``rows`` (16 bytes each), so they are broadcast to the documents.
     """
+    small_batches(docs.sparkSession)
     known = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull() & learn(F.col(id_col)))
     chosen = known.groupBy(F.col(id_col).alias("_k")).agg(F.max(label).cast("int").alias("_y")).orderBy(F.xxhash64("_k"), "_k").limit(rows)
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -33,12 +36,13 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Callabl
 
 def score_all(docs: DataFrame, score: Callable[[list[str]], np.ndarray], held_out: Callable[[Column], Column], *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """``keep`` columns (the id alone by default), held_out, score, predicted; one narrow pass, nothing is shuffled."""
+    small_batches(docs.sparkSession)
     keep = keep or [id_col]
     taken = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     parts = [(f.name, f.dataType.simpleString()) for f in taken.schema if f.name != "t"]
 
     def run(batches):
-        for b in batches:
+        for b in trimmed(batches):
             b["score"] = np.asarray(score(b["t"].tolist()), dtype=np.float64) if len(b) else pd.Series(dtype="float64")
             yield b.drop(columns="t")
 
@@ -46,5 +50,16 @@ def score_all(docs: DataFrame, score: Callable[[list[str]], np.ndarray], held_ou
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "held_out", "score", (F.col("score") >= F.lit(THRESHOLD)).cast("int").alias("predicted"))
 
 
+def scored_column(score: Callable[[list[str]], np.ndarray], text: Column) -> Column:
+    """The score as a column; the row's other columns stay in the JVM. Null texts count as empty."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for t in trimmed(batches):
+            yield pd.Series(np.asarray(score(t.tolist()), dtype=np.float64))
+
+    return run(F.coalesce(text, F.lit("")))
+
+
 def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(z, -35, 35)))
