@@ -4,8 +4,8 @@
 2. A class has ``bands`` hashes of ``rows`` minima each; both numbers follow from the target recall at the threshold. Classes
    meet where a band hash is equal. Buckets with the same members as another bucket are dropped.
 3. The shingle sets of the classes that are left are sent to their buckets, where all pairs are verified exactly. A pair that
-   several buckets hold is counted in the first of them. A bucket is split into blocks and its pairs into pairs of blocks, so
-   none has to fit into one task; a task gives link counts and a spanning forest, never the pairs themselves.
+   several buckets hold is counted in the first of them. A bucket is split into blocks, by classes and by bytes of their sets,
+   and its pairs into pairs of blocks, so none has to fit into one task; a task gives link counts and a spanning forest, never the pairs themselves.
 4. The forests' edges are joined to connected components by alternating large and small stars.
 """
 
@@ -18,15 +18,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import numbered, written
+from tessera.llm.common import positional, restored, small_batches, trimmed, unique_ids, written
 
 WORDS = 5
 THRESHOLD = 0.8
 RECALL = 0.999
 MOST_HASHES = 128
-#: Classes of one block of a bucket.
+#: Classes of one block of a bucket, and bytes of their sets, about.
 BLOCK = 1024
-#: Bytes of texts that are hashed in one numpy pass.
+BLOCK_BYTES = 4_000_000
+#: Odd factors that keep words of a shingle, and rows of a band, apart.
 _C = np.array([pow(6364136223846793005, k, 2**64) for k in range(64)], np.uint64)
 
 
@@ -179,77 +180,101 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
 
     Texts of fewer words have one shingle of all their words. Null and empty texts have none: they link to nothing and are
     classes of their own. Repeated rows are documents with an equal set; null ids never name a class unless all are null.
-    ``id_col`` may have any ordered type; other columns aren't read.
+    ``id_col`` may have any ordered type, and needn't be unique: rows are told apart by a number of their own. An empty table
+    gives none; other columns aren't read, whatever their names.
+
+    Shingles are 64-bit hashes and sets are named by 128 bits of them; neither is compared with the words again.
     """
     spark = docs.sparkSession
-    bands, rows = banding(threshold, recall)
-    kind = docs.schema[id_col].dataType.simpleString()
     src = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    if unique_ids(src, "id"):
+        return _near(src.select(F.col("id").cast("bigint").alias("row"), "t"), words, threshold, recall, block).select(F.col("row").cast(src.schema["id"].dataType).alias(id_col), F.col("rep").cast(src.schema["id"].dataType).alias("class_id"), "n_links", "n_same")
+    rows = written(src.withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    found = written(_near(rows.select("row", "t"), words, threshold, recall, block).join(rows.select("row", "id"), "row"), "near-found")
+    least = found.groupBy(F.col("rep").alias("r")).agg(F.min("id").alias("class_id"))
+    return found.join(least, F.col("rep") == F.col("r")).select(F.col("id").alias(id_col), "class_id", "n_links", "n_same")
+
+
+def _near(src: DataFrame, words: int, threshold: float, recall: float, block: int) -> DataFrame:
+    """(row, rep, n_links, n_same) of texts (row, t): ``row`` is unique and never null, ``rep`` the least row of the class."""
+    spark = src.sparkSession
+    small_batches(spark)
+    bands, rows = banding(threshold, recall)
 
     def sign(batches):
         minhash = MinHash(bands, rows)
-        for b in batches:
-            sets = [shingles(t, words) for t in b["t"]]
-            yield pd.DataFrame({"id": b["id"], "cid": [class_of(z) or None for z in sets], "bands": [minhash(z) if len(z) else None for z in sets]})
+        for b in trimmed(batches):
+            row, cid, size, hashes = b["row"].to_numpy(), [], [], []
+            for t in b["t"]:
+                z = shingles(t, words)
+                cid.append(class_of(z) or None), size.append(len(z)), hashes.append(minhash(z) if len(z) else None)
+            yield pd.DataFrame({"row": row, "cid": cid, "size": size, "bands": hashes})
 
-    signed = written(src.mapInPandas(sign, f"id {kind}, cid binary, bands array<bigint>"), "near-signed")
-    classes = signed.where("cid IS NOT NULL").groupBy("cid").agg(F.count("*").alias("m"), F.min("id").alias("id"), F.first("bands").alias("bands"))
+    signed = written(src.mapInPandas(sign, "row bigint, cid binary, size bigint, bands array<bigint>"), "near-signed")
+    classes = signed.where("cid IS NOT NULL").groupBy("cid").agg(F.count("*").alias("m"), F.min("row").alias("rep"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     classes = written(classes, "near-classes")
-    exploded = classes.select("cid", F.posexplode("bands").alias("band", "h"))
-    buckets = exploded.groupBy("band", "h").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y")).where("n > 1")
-    kept = buckets.groupBy("n", "x", "y").agg(F.min(F.struct("band", "h")).alias("k")).select(F.col("k.band").alias("band"), F.col("k.h").alias("h"), "n")
-    where = exploded.join(kept, ["band", "h"]).groupBy("cid").agg(F.collect_list(F.struct("band", "h", "n")).alias("at"))
-    asked = classes.select("cid", "m", "id").join(where, "cid")
+    exploded = classes.select("cid", "size", F.posexplode("bands").alias("band", "h"))
+    buckets = exploded.groupBy("band", "h").agg(F.count("*").alias("n"), F.sum("size").alias("size"), F.bit_xor(F.xxhash64("cid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "cid")).alias("y")).where("n > 1")
+    kept = buckets.groupBy("n", "size", "x", "y").agg(F.min(F.struct("band", "h")).alias("k"))
+    blocks = F.greatest(F.ceil(F.col("n") / block), F.ceil(F.col("size") * 8 / BLOCK_BYTES)).cast("int")
+    kept = kept.select(F.col("k.band").alias("band"), F.col("k.h").alias("h"), blocks.alias("blocks"))
+    where = exploded.drop("size").join(kept, ["band", "h"]).groupBy("cid").agg(F.collect_list(F.struct("band", "h", "blocks")).alias("at"))
+    asked = classes.select("cid", "m", "rep").join(where, "cid")
 
     parts = "band int, h bigint, i int, j int, side int, cid binary, m bigint, kept array<bigint>, z binary"
 
     def deal(batches):
-        for b in batches:
-            out = []
+        for b in trimmed(batches):
+            out, size = [], 0
             for t, cid, m, at in zip(b["t"], b["cid"], b["m"], b["at"], strict=True):
-                z = shingles(t, words)
-                if class_of(z) != cid:  # another row with this id
-                    continue
+                raw = shingles(t, words).tobytes()
                 own = int.from_bytes(cid[:8], "big")
                 mine = np.array([(own * (2 * k + 3) + k) % 2**63 for k in range(bands)], np.int64)
                 for x in at:
                     mine[x["band"]] = x["h"]
-                raw = z.tobytes()
                 for x in at:
-                    blocks = -(-x["n"] // block)
-                    b_own = own % blocks
-                    for other in range(blocks):
+                    b_own = own % x["blocks"]
+                    for other in range(x["blocks"]):
                         out.append((x["band"], x["h"], min(b_own, other), max(b_own, other), int(b_own > other), cid, m, mine, raw))
-                if len(out) >= 512:
-                    yield pd.DataFrame(out, columns=NAMES)
-                    out = []
+                        size += len(raw)
+                        if len(out) >= 512 or size >= BLOCK_BYTES:
+                            yield pd.DataFrame(out, columns=NAMES)
+                            out, size = [], 0
             yield pd.DataFrame(out, columns=NAMES)
 
     def verify(batches):
-        for key, group in _grouped(batches):
+        for key, group in _grouped(trimmed(batches)):
             got = _bucket(group, int(key[0]), key[2] != key[3], threshold)
             if got is not None:
                 yield got
 
-    texts = src.join(asked.withColumnRenamed("id", "rep"), F.col("id").eqNullSafe(F.col("rep"))).select("t", "cid", "m", "at")
+    texts = src.join(asked, F.col("row") == F.col("rep")).select("t", "cid", "m", "at")
     dealt = texts.mapInPandas(deal, parts).repartition("band", "h", "i", "j").sortWithinPartitions("band", "h", "i", "j")
     linked = written(dealt.mapInPandas(verify, "cid binary, links bigint, other binary"), "near-links")
     links = linked.groupBy("cid").agg(F.sum("links").alias("links"))
     found = components(linked.select(F.col("cid").alias("a"), F.col("other").alias("b")), "near-stars")
-    named = classes.select("cid", "m", "id").join(links, "cid", "left").join(found, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
-    named = written(named.select("cid", "m", "id", "links", "root"), "near-named")
-    label = named.groupBy("root").agg(F.min("id").alias("class_id"))
-    of_class = named.join(label, "root").select(F.col("cid").alias("c"), "class_id", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "m")
-    out = signed.select("id", "cid").join(of_class, F.col("cid") == F.col("c"), "left")
-    return out.select(F.col("id").alias(id_col), F.when(F.col("c").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), (F.coalesce("m", F.lit(1)) - 1).cast("bigint").alias("n_same"))
+    named = classes.select("cid", "m", F.col("rep").alias("own"), "size").join(links, "cid", "left").join(found, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+    named = written(named.select("cid", "m", "own", "links", "root"), "near-named")
+    label = named.groupBy("root").agg(F.min("own").alias("rep"))
+    of_class = named.join(label, "root").select(F.col("cid").alias("c"), "rep", (F.coalesce("links", F.lit(0)) + F.col("m") - 1).alias("n_links"), "m")
+    out = signed.select("row", "cid").join(of_class, F.col("cid") == F.col("c"), "left")
+    return out.select("row", F.coalesce("rep", "row").alias("rep"), F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), (F.coalesce("m", F.lit(1)) - 1).cast("bigint").alias("n_same"))
+
 
+def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, threshold: float = THRESHOLD, recall: float = RECALL, block: int = BLOCK) -> DataFrame:
+    """The rows of ``docs`` of which one stands for each class, with all their columns, whatever their names.
 
-def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` of which one stands for each class (that of the least id), with all their columns."""
-    at = numbered(docs, id_col, "_near_row")
-    found = near_duplicates(at, id_col="_near_row", text_col=text_col, **options)
-    stay = found.where("_near_row = class_id").select(F.col("_near_row").alias("_near_kept"))
-    return at.join(stay, F.col("_near_row") == F.col("_near_kept"), "left_semi").select(*docs.columns)
+    Where ids are unique whole numbers the one of the least id stays, else the first by a number given to each row. Null and
+    empty texts have no shingles, so they all stay; of repeated rows with words one stays; an empty table gives none.
+    """
+    named, at = positional(docs)
+    if unique_ids(named, at[id_col]):
+        named = named.withColumn("row", F.col(at[id_col]).cast("bigint"))
+    else:
+        named = written(named.withColumn("row", F.monotonically_increasing_id()), "near-rows")
+    found = _near(named.select("row", F.coalesce(F.col(at[text_col]), F.lit("")).alias("t")), words, threshold, recall, block)
+    stay = found.where("row = rep").select(F.col("row").alias("stays"))
+    return restored(named.join(stay, F.col("row") == F.col("stays"), "left_semi"), at)
 
 
 NAMES = ["band", "h", "i", "j", "side", "cid", "m", "kept", "z"]
@@ -276,4 +301,5 @@ def _grouped(batches):
 
 
 def op3_ngram_join(spark, sf_dir: str) -> DataFrame:
+    """``near_duplicates`` of all documents; odd rows as stated there."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
