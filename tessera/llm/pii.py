@@ -18,6 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import positional, restored
 from tessera.llm.supervised import sigmoid
 
 #: Fixed values. Java's dialect; the same matches as the plain patterns in the docstrings of ``tests/llm``.
@@ -295,21 +296,27 @@ def selected(spark: SparkSession, cands: str) -> str:
 # --- the operator ----------------------------------------------------------------------------------------------------
 
 
+def _found(named: DataFrame, text: Column) -> DataFrame:
+    """Adds ``base`` and ``spans`` to a table whose columns are named by ``positional``."""
+    names = named.columns
+    df = proposals(base_spans(named.withColumn("_t", F.coalesce(text, F.lit(""))), "_t"), "_t")
+    parts = ", ".join(f"transform(b_{k}, x -> named_struct('k', {KINDS.index(k)}, 's', x.s, 'e', x.e))" for k in BASE)
+    df = df.withColumn("base", F.expr(f"concat({parts})"))
+    df = df.withColumn("_f", F.expr(f"CASE WHEN size(cands) > 0 THEN {featured('cands')} END"))
+    df = df.withColumn("spans", F.expr(f"CASE WHEN size(cands) > 0 THEN array_sort(array_distinct(concat(base, {selected(named.sparkSession, '_f')}))) ELSE base END"))
+    return df.select(*names, "base", "spans")
+
+
 def find_pii(docs: DataFrame, *, text_col: str = "text", prefix: str = "pii_") -> DataFrame:
     """``docs`` with ``<prefix>base`` and ``<prefix>spans``: array<struct<k, s, e>> (index into ``KINDS``, start, end), in order of kind and start.
 
     ``spans`` has the base spans and the proposals that the trees accept, without repetitions; spans of different kinds
     may overlap. Null texts have none. Rows are independent of each other, so null ids, repeated rows and empty tables need
-    no care; a column of the new names is replaced.
+    no care. Columns of any name come back unchanged, but for columns of the two new names, which are replaced.
     """
-    names = docs.columns
-    df = docs.withColumn("_pii_t", F.coalesce(F.col(text_col), F.lit("")))
-    df = proposals(base_spans(df, "_pii_t"), "_pii_t")
-    base = ", ".join(f"transform(b_{k}, x -> named_struct('k', {KINDS.index(k)}, 's', x.s, 'e', x.e))" for k in BASE)
-    df = df.withColumn(f"{prefix}base", F.expr(f"concat({base})"))
-    df = df.withColumn("_f", F.expr(f"CASE WHEN size(cands) > 0 THEN {featured('cands')} END"))
-    df = df.withColumn(f"{prefix}spans", F.expr(f"CASE WHEN size(cands) > 0 THEN array_sort(array_distinct(concat({prefix}base, {selected(docs.sparkSession, '_f')}))) ELSE {prefix}base END"))
-    return df.select(*[c for c in names if c not in (f"{prefix}base", f"{prefix}spans")], f"{prefix}base", f"{prefix}spans")
+    named, at = positional(docs)
+    new = {f"{prefix}base": "base", f"{prefix}spans": "spans"}
+    return restored(_found(named, F.col(at[text_col])), {k: v for k, v in at.items() if k not in new} | new)
 
 
 def joined(spans: str) -> Column:
@@ -318,18 +325,25 @@ def joined(spans: str) -> Column:
 
 
 def redacted(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with every span of ``find_pii`` in the text replaced by its kind in brackets; overlapping spans become one."""
-    df = find_pii(docs, text_col=text_col, prefix="_pii_")
+    """``docs`` with every span of ``find_pii`` in the text replaced by its kind in brackets; overlapping spans become one.
+
+    Null and empty texts stay as they are; repeated rows, null ids and empty tables need no care. All other columns come
+    back unchanged, whatever their names.
+    """
+    named, at = positional(docs)
+    text = at[text_col]
+    df = _found(named, F.col(text))
     tags = ", ".join(f"'[{k.upper()}]'" for k in KINDS)
     # Spans by start; one that begins before the furthest end so far only pushes that end.
-    merged = "aggregate(array_sort(transform(_pii_spans, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k))), cast(array() as array<struct<s: bigint, e: bigint, k: int>>), (q, x) -> CASE WHEN size(q) > 0 AND x.s < element_at(q, -1).e THEN concat(slice(q, 1, size(q) - 1), array(named_struct('s', element_at(q, -1).s, 'e', greatest(element_at(q, -1).e, x.e), 'k', element_at(q, -1).k))) ELSE concat(q, array(x)) END)"
-    df = df.withColumn("_pii_u", F.expr(f"CASE WHEN size(_pii_spans) > 0 THEN {merged} END"))
-    piece = f"transform(_pii_u, (x, i) -> concat(substring({text_col}, cast(CASE WHEN i = 0 THEN 1 ELSE _pii_u[i - 1].e + 1 END as int), cast(x.s - CASE WHEN i = 0 THEN 0 ELSE _pii_u[i - 1].e END as int)), element_at(array({tags}), x.k + 1)))"
-    new = f"CASE WHEN _pii_u IS NULL THEN {text_col} ELSE concat(array_join({piece}, ''), substring({text_col}, cast(element_at(_pii_u, -1).e + 1 as int))) END"
-    return df.withColumn(text_col, F.expr(new)).select(*docs.columns)
+    merged = "aggregate(array_sort(transform(spans, x -> named_struct('s', x.s, 'e', x.e, 'k', x.k))), cast(array() as array<struct<s: bigint, e: bigint, k: int>>), (q, x) -> CASE WHEN size(q) > 0 AND x.s < element_at(q, -1).e THEN concat(slice(q, 1, size(q) - 1), array(named_struct('s', element_at(q, -1).s, 'e', greatest(element_at(q, -1).e, x.e), 'k', element_at(q, -1).k))) ELSE concat(q, array(x)) END)"
+    df = df.withColumn("_u", F.expr(f"CASE WHEN size(spans) > 0 THEN {merged} END"))
+    piece = f"transform(_u, (x, i) -> concat(substring({text}, cast(CASE WHEN i = 0 THEN 1 ELSE _u[i - 1].e + 1 END as int), cast(x.s - CASE WHEN i = 0 THEN 0 ELSE _u[i - 1].e END as int)), element_at(array({tags}), x.k + 1)))"
+    new = f"CASE WHEN _u IS NULL THEN {text} ELSE concat(array_join({piece}, ''), substring({text}, cast(element_at(_u, -1).e + 1 as int))) END"
+    return restored(df.withColumn(text, F.expr(new)), at)
 
 
 def op7_pii(spark, sf_dir: str) -> DataFrame:
+    """``find_pii`` over all documents; odd rows as stated there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = find_pii(docs)
     counts = [F.expr(f"cast(size(filter(pii_base, x -> x.k = {KINDS.index(k)})) as bigint)").alias(f"n_{k}") for k in BASE]
