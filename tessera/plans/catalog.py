@@ -15,13 +15,13 @@ from tessera.sources import generators, readers, writers
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-FLOW = """raw AS (SELECT src, dst, w FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,
+FLOW = """raw AS MATERIALIZED (SELECT src, dst, w FROM (SELECT l_partkey AS src, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber,
   l_partkey, l_suppkey, l_quantity, l_extendedprice) AS dst, CAST(l_quantity AS INTEGER) AS w FROM lineitem) t WHERE dst IS NOT NULL)"""
-SPARSE = """raw AS (SELECT 2 * l_partkey AS src, 2 * l_suppkey + 1 AS dst, min(CAST(l_linenumber AS INTEGER)) AS w FROM lineitem
+SPARSE = """raw AS MATERIALIZED (SELECT 2 * l_partkey AS src, 2 * l_suppkey + 1 AS dst, min(CAST(l_linenumber AS INTEGER)) AS w FROM lineitem
   WHERE l_quantity >= 50 AND l_discount >= 0.09 GROUP BY 1, 2)"""
-GRAPHS = """g AS (SELECT src, dst, min(w) AS w FROM raw WHERE src <> dst GROUP BY src, dst),
+GRAPHS = """g AS MATERIALIZED (SELECT src, dst, min(w) AS w FROM raw WHERE src <> dst GROUP BY src, dst),
  ways AS (SELECT src, dst, w FROM raw UNION ALL SELECT dst, src, w FROM raw),
- u AS (SELECT src, dst, min(w) AS w FROM ways WHERE src <> dst GROUP BY src, dst),
+ u AS MATERIALIZED (SELECT src, dst, min(w) AS w FROM ways WHERE src <> dst GROUP BY src, dst),
  n AS (SELECT max(greatest(src, dst)) + 1 AS n FROM raw), v AS (SELECT unnest(range(n)) AS id FROM n)"""
 
 
@@ -130,7 +130,7 @@ def relabel_by_degree(spark, sf):
     return graphs.relabel_map(derived.flow(spark, sf, symmetrize=True))
 
 
-@register("relabelled_edges", "SELECT a.k AS src, b.k AS dst FROM u JOIN r a ON a.id = u.src JOIN r b ON b.id = u.dst", ctes="r AS (SELECT id, row_number() OVER (ORDER BY d DESC, id DESC) - 1 AS k FROM (SELECT id, count(src) AS d FROM v LEFT JOIN u ON src = id GROUP BY id))")
+@register("relabelled_edges", "SELECT a.k AS src, b.k AS dst FROM u JOIN r a ON a.id = u.src JOIN r b ON b.id = u.dst", ctes="r AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY d DESC, id DESC) - 1 AS k FROM (SELECT id, count(src) AS d FROM v LEFT JOIN u ON src = id GROUP BY id))")
 def relabelled_edges(spark, sf):
     return graphs.relabel_by_degree(derived.flow(spark, sf, symmetrize=True, weighted=False)).edges
 
@@ -256,7 +256,7 @@ def bc_multi_source(spark, sf):
     return _rounded(betweenness.betweenness(derived.flow(spark, sf), [0, 1, 2]))
 
 
-TC = "t AS (SELECT a.src AS a, a.dst AS b, b.dst AS c FROM u a JOIN u b ON b.src = a.dst JOIN u c ON c.src = a.src AND c.dst = b.dst WHERE a.src > a.dst AND b.src > b.dst)"
+TC = "o AS MATERIALIZED (SELECT src, dst FROM u WHERE src > dst), t AS MATERIALIZED (SELECT a.src AS a, a.dst AS b, b.dst AS c FROM o a JOIN o b ON b.src = a.dst JOIN o c ON c.src = a.src AND c.dst = b.dst)"
 
 
 @register("triangle_count", "SELECT count(*) AS triangles FROM t", ctes=TC)
