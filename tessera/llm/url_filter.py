@@ -4,8 +4,9 @@ Every URL is expanded into the (host suffix, path prefix) expressions that a rul
 an equi-join on a short prefix of their SHA-256, the full digest confirms the hit, and precedence picks one rule.
 
 Only expressions of a shape (labels in the host, length of the path) that some rule has are made, so the work per URL
-is bounded by the number of shapes among the rules, never by the length of the URL. Rules are joined, not broadcast by
-hand: Spark may broadcast them where their size allows.
+is bounded by the number of shapes among the rules that fit a URL's own host and path. Few shapes are literals of the plan; many are
+listed by number of host labels, and a URL is joined to the lists of the label numbers that it has. Rules and shapes are
+joined, not broadcast by hand: Spark may broadcast them where their size allows.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import functions as F
 from tessera.llm.common import LOWER, UPPER
 
 PREFIX_HEX = 8
-#: Shapes are literals of the plan.
-MAX_SHAPES = 4096
+#: Shapes are literals of the plan up to this number, beyond it a table; the result is the same.
+LITERAL_SHAPES = 64
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -45,9 +46,8 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     src = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"))
     clean = rules.dropna(subset=["host", "path", "action"]).select(F.translate("host", UPPER, LOWER).alias("h"), F.col("path").alias("p"), F.col("action").alias("action")).distinct()
     keyed = clean.select("h", "p", "action", F.sha2(F.concat("h", F.lit("\u0000"), "p"), 256).alias("digest")).withColumn("prefix", F.substring("digest", 1, PREFIX_HEX))
-    shapes = [tuple(r) for r in clean.select(labels_in(F.col("h")).alias("n"), F.length("p").alias("m")).distinct().sort("n", "m").take(MAX_SHAPES + 1)]
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"the rules have more than {MAX_SHAPES} shapes of host and path")
+    shaped = clean.select(labels_in(F.col("h")).alias("n"), F.length("p").alias("m")).distinct()
+    shapes = [tuple(r) for r in shaped.sort("n", "m").take(LITERAL_SHAPES + 1)]
     host, path = split_url(F.col("_url"))
     if not shapes:
         none = F.lit(None).cast("string")
@@ -56,18 +56,24 @@ def judge(pages: DataFrame, rules: DataFrame, *, id_col: str = "page_id", url_co
     # A verdict depends on nothing but the URL, so each distinct URL is judged once; partial aggregation takes the
     # repetitions of a hot URL away before anything is shuffled.
     parts = src.select("_url").where(F.col("_url").isNotNull()).distinct().select("_url", host.alias("h"), path.alias("p"))
-    shape = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")) for n, m in shapes])).alias("s")
-    expressions = (
-        parts.select("_url", "h", "p", labels_in(F.col("h")).alias("n"), F.length("p").alias("m"), shape)
-        .where("s.n <= n and s.m <= m and h <> ''")
-        .select("_url", F.sha2(F.concat(F.expr("substring_index(h, '.', -s.n)"), F.lit("\u0000"), F.expr("substring(p, 1, s.m)")), 256).alias("full"))
-        .withColumn("prefix", F.substring("full", 1, PREFIX_HEX))
-    )
+    parts = parts.withColumn("n", labels_in(F.col("h"))).withColumn("m", F.length("p")).where("h <> ''")
+    if len(shapes) <= LITERAL_SHAPES:
+        shape = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(m).alias("m")) for n, m in shapes])).alias("s")
+        fitting = parts.select("_url", "h", "p", "n", "m", shape).where("s.n <= n and s.m <= m")
+    else:
+        # For each number of host labels the path lengths of its rules. There are as many rows as rules have label numbers.
+        lists = shaped.groupBy(F.col("n").alias("rule_n")).agg(F.collect_set("m").alias("ms"))
+        asked = parts.select("_url", "h", "p", "m", F.explode(F.sequence(F.lit(1), "n")).alias("rule_n"))
+        lengths = asked.join(lists, "rule_n").withColumn("ms", F.filter("ms", lambda x: x <= F.col("m")))
+        fitting = lengths.select("_url", "h", "p", F.col("rule_n").alias("sn"), F.explode("ms").alias("sm")).select("_url", "h", "p", F.struct(F.col("sn").alias("n"), F.col("sm").alias("m")).alias("s"))
+    expressions = fitting.select("_url", F.sha2(F.concat(F.expr("substring_index(h, '.', -s.n)"), F.lit("\u0000"), F.expr("substring(p, 1, s.m)")), 256).alias("full")).withColumn("prefix", F.substring("full", 1, PREFIX_HEX))
     hits = expressions.join(keyed, "prefix").where(F.col("full") == F.col("digest"))
     rank = F.struct(F.length("h") + F.length("p"), F.length("h"), (F.col("action") == "block").cast("int"))
     best = hits.groupBy(F.col("_url").alias("_hit")).agg(F.max_by(F.struct(F.concat("h", "p").alias("rule"), "action"), rank).alias("best"))
+    # Null URLs meet nothing; their ids in place of the null spread them over all tasks.
+    key = F.coalesce("_url", F.concat(F.lit("\u0000"), F.coalesce(F.col("_id").cast("string"), F.lit(""))))
     return (
-        src.join(best, F.col("_url") == F.col("_hit"), "left")
+        src.join(best, key == F.col("_hit"), "left")
         .select(F.col("_id").alias(id_col), host.alias("host"), path.alias("path"), F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
     )
 
@@ -83,6 +89,7 @@ QUERY_RULES = [
 
 
 def op10_url_filters(spark, sf_dir: str) -> DataFrame:
+    """``judge`` over all pages with ``QUERY_RULES``; odd rows as stated there."""
     rules = spark.sql("SELECT * FROM VALUES " + ", ".join(str(x) for x in QUERY_RULES) + " AS t(host, path, action)")
     return judge(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 

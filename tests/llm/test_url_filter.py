@@ -27,6 +27,14 @@ def test_rules(spark):
     assert got[15][3] == "block"
 
 
+def test_many_shapes(spark, monkeypatch):
+    rules = [*RULES, *((f"{'z.' * n}com", "/" * m, "block") for n in range(9) for m in range(9))]
+    few = judged(spark, URLS, rules)
+    assert len({(h.count("."), len(p)) for h, p, _ in rules if h}) > url_filter.LITERAL_SHAPES
+    monkeypatch.setattr(url_filter, "LITERAL_SHAPES", 1000)
+    assert few == judged(spark, URLS, rules) and few[5][2:] == ("example.com/en/7", "allow")
+
+
 def test_no_rules_and_no_pages(spark):
     assert judged(spark, URLS[5:7], [])[0][2:] == (None, "allow")
     assert judged(spark, []) == {}
