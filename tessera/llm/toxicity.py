@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import written
+from tessera.llm.common import trimmed, written
 from tessera.llm.supervised import TRAIN_ROWS, remainder, score_all, sigmoid, training_rows
 
 # Closed word classes in English, German, French and Spanish.
@@ -55,7 +55,7 @@ def occurrences(sample: DataFrame) -> DataFrame:
     """
 
     def run(batches):
-        for b in batches:
+        for b in trimmed(batches):
             found = set().union(*(_neighbourhoods(t, y) for t, y in zip(b["text"], b["y"], strict=True)))
             yield pd.DataFrame(list(found), columns=["w", "y", "c"])
 
@@ -179,7 +179,9 @@ class Grammar:
             start = end - n + 1
             if start < done or (start and (low[start - 1].isalpha())):
                 continue
-            cut = max(low.rfind(c, 0, start) for c in ".!?;\n") + 1
+            # No further back than the clause before, so a long text without breaks is read once.
+            begin = max(done, 0)
+            cut = max(begin, max(low.rfind(c, begin, start) for c in ".!?;\n") + 1)
             stop = _BREAK.search(low, end)
             done = stop.start() if stop else len(low)
             for k, v in self.clause(_WORD.findall(low, cut, done)).items():
@@ -233,7 +235,7 @@ def learn(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> Gram
     grammar = Grammar({w: 3.0 for w in SEEDS} | induce(sample))
 
     def pool(batches):
-        for b in batches:
+        for b in trimmed(batches):
             x = grammar.pooled(b["text"].tolist())
             yield pd.DataFrame({"id": b["id"], "y": b["y"], "a": x[:, 1], "b": x[:, 2]})
 
@@ -253,4 +255,5 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROW
 
 
 def op6_toxicity(spark, sf_dir: str) -> DataFrame:
+    """``toxicity_scores`` of all documents; odd rows as stated there."""
     return toxicity_scores(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
