@@ -5,9 +5,10 @@ every table and then perturbed ones (one or more coordinates moved by one), in t
 succeed: by the squared distances from the query's projections to the cell walls that are crossed. Candidates of all
 tables are merged and ranked by exact distance.
 
-Points meet probes in blocks: a group of cells of one table, split further where it is hot. Identical vectors are taken
-together before anything is shuffled, with the smallest of their ids, so a vector that a third of all rows hold costs a
-row a batch. Queries that find fewer neighbours than there are get them from an exact scan in blocks.
+Points meet probes in blocks: a group of cells of one table, split further where it is hot. A task holds one block of
+points, and probes stream past it. Identical vectors are taken together before anything is shuffled, with the smallest of
+their ids, so a vector that a third of all rows hold costs a row a batch. Queries that find fewer neighbours than there are
+get them from an exact scan in blocks, and so do all of them where no number of probes reaches the target recall.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import written
+from tessera.llm.common import small_batches, trimmed, written
 
 #: Vectors that the index is fitted on at most; every row is indexed.
 SAMPLE = 4096
@@ -101,8 +102,8 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(np.einsum("ij,ij->i", d, d))
 
 
-def fit(sample: np.ndarray, total: int, *, tables: int = TABLES, target: float = TARGET_RECALL, k: int = 10) -> Index:
-    """Directions, cell width and probes for ``total`` vectors, from a bounded sample.
+def fit(sample: np.ndarray, total: int, *, tables: int = TABLES, target: float = TARGET_RECALL, k: int = 10) -> Index | None:
+    """Directions, cell width and probes for ``total`` vectors, from a bounded sample; None where none reach the target.
 
     Cells start out as fine as ``total`` asks for (coordinates by its logarithm) and get coarser until some number of
     probes reaches the target recall on the sample; the least such number is taken. Neighbours in the sample are farther
@@ -112,8 +113,8 @@ def fit(sample: np.ndarray, total: int, *, tables: int = TABLES, target: float =
     for m in range(finest, 3, -1):
         index, recall = _fitted(sample, m, tables, target, k)
         if recall >= target:
-            break
-    return index
+            return index
+    return None
 
 
 def _fitted(sample: np.ndarray, m: int, tables: int, target: float, k: int) -> tuple[Index, float]:
@@ -191,9 +192,11 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
     Queries are the rows whose id is divisible by ``every``; candidates are all rows with another id. Null ids and vectors
     that are null, zero, hold null or non-finite components, or have another length than the sample's most common one take
     no part. Rows that repeat an id count as one candidate. Queries that find fewer than ``k``, where there are more, are
-    answered by an exact scan; with no more than ``k`` candidates each query so gets all of them.
+    answered by an exact scan; with no more than ``k`` candidates each query so gets all of them. Other columns aren't read,
+    whatever their names.
     """
     spark = vectors.sparkSession
+    small_batches(spark)
     pts = usable(vectors, id_col, vec_col)
     schema = "query_id long, rank int, vec_id long, score double"
     chosen = pts.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
@@ -205,13 +208,15 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
     sample = np.stack([np.asarray(v, float) for v in taken["v"] if len(v) == dims])
     total = pts.count()
     index = fit(sample, total, tables=tables, target=target, k=k)
+    if index is None:
+        return _scanned(pts, pts.where(F.col("id") % every == 0), k)
     groups = max(1, -(-total // BLOCK))
 
     def group_of(keys):
         return np.mod(keys >> 7, groups)
 
     def sizes(batches):
-        for b in batches:
+        for b in trimmed(batches):
             x = np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, dims))
             _, x = _together(b["id"].to_numpy(), x, 1)
             for t in range(tables):
@@ -223,7 +228,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
     offset = 1 << 20  # blocks of a group
 
     def place(batches):
-        for b in batches:
+        for b in trimmed(batches):
             ids, x = _together(b["id"].to_numpy(), np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, dims)), k + 1)
             for t in range(tables):
                 keys = index.keys(index.cells(x, t)[0], t)
@@ -232,7 +237,7 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
                 yield pd.DataFrame({"block": g * offset + part, "cell": keys, "ids": ids, "v": list(x)})
 
     def ask(batches):
-        for b in batches:
+        for b in trimmed(batches):
             ids, x = _together(b["id"].to_numpy(), np.stack(b["v"].to_numpy()) if len(b) else np.zeros((0, dims)), None)
             for lo in range(0, len(x), 64):
                 for t in range(tables):
@@ -247,13 +252,13 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
                             rows += [(int(h) * offset + s, cells, ids[lo + i], x[lo + i]) for s in range(split.get(int(h), 1))]
                     yield pd.DataFrame(rows, columns=["block", "cells", "qids", "v"])
 
-    def meet(points, probes):
-        out = []
-        if len(points) and len(probes):
-            x, cell = np.stack(points["v"].to_numpy()), points["cell"].to_numpy()
-            order = np.argsort(cell, kind="stable")
-            x, cell, ids = x[order], cell[order], points["ids"].to_numpy()[order]
-            for cells, qids, v in zip(probes["cells"], probes["qids"], probes["v"], strict=True):
+    def meet(batches):
+        for points, asked in _blocks(trimmed(batches)):
+            if points is None:
+                continue
+            x, cell, ids = points
+            out = []
+            for cells, qids, v in zip(asked["cells"], asked["ids"], asked["v"], strict=True):
                 cells = np.asarray(cells)
                 lo, hi = np.searchsorted(cell, cells, "left"), np.searchsorted(cell, cells, "right")
                 n = hi - lo
@@ -263,11 +268,13 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
                 d = distances(x[at], np.asarray(v))
                 # One more than k distinct ids: a query's own, which goes later, takes no other's place.
                 out.append((qids, *_nearest(ids[at], d, k + 1)))
-        return pd.DataFrame(out, columns=["qids", "ids", "scores"])
+            yield pd.DataFrame(out, columns=["qids", "ids", "scores"])
 
     points = pts.mapInPandas(place, "block long, cell long, ids array<long>, v array<double>")
     probes = pts.where(F.col("id") % every == 0).mapInPandas(ask, "block long, cells array<long>, qids array<long>, v array<double>")
-    met = points.groupBy("block").cogroup(probes.groupBy("block")).applyInPandas(meet, "qids array<long>, ids array<long>, scores array<double>")
+    here = points.select("block", F.lit(0).alias("probe"), F.array("cell").alias("cells"), "ids", "v").unionByName(probes.select("block", F.lit(1).alias("probe"), "cells", F.col("qids").alias("ids"), "v"))
+    dealt = here.repartition("block").sortWithinPartitions("block", "probe")
+    met = dealt.mapInPandas(meet, "qids array<long>, ids array<long>, scores array<double>")
     pairs = met.select(F.explode("qids").alias("query_id"), F.arrays_zip("ids", "scores").alias("z")).select("query_id", F.explode("z").alias("z")).select("query_id", F.col("z.ids").alias("vec_id"), F.col("z.scores").alias("score"))
     ranked = written(_ranked(pairs, k), "neighbours")
 
@@ -282,6 +289,31 @@ def search(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedd
     return enough.unionByName(_scanned(pts, short, k))
 
 
+def _blocks(batches):
+    """(points, probes) of a block for every batch or part of one that has probes, from rows sorted by block, points first.
+
+    Points are (vectors, cells, ids) in order of their cells, or None where the block has none. Only they are held.
+    """
+    block, held, points = None, [], None
+    for b in batches:
+        if not len(b):
+            continue
+        names, probe = b["block"].to_numpy(), b["probe"].to_numpy()
+        cuts = np.flatnonzero((names[1:] != names[:-1]) | (probe[1:] != probe[:-1])) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(b)], strict=True):
+            if names[lo] != block:
+                block, held, points = names[lo], [], None
+            part = b.iloc[lo:hi]
+            if not probe[lo]:
+                held.append((np.stack(part["v"].to_numpy()), np.concatenate(part["cells"].to_numpy()), part["ids"].to_numpy()))
+                continue
+            if held:
+                x, cell, ids = (np.concatenate(z) for z in zip(*held, strict=True))
+                order = np.argsort(cell, kind="stable")
+                held, points = [], (x[order], cell[order], ids[order])
+            yield points, part
+
+
 def _ranked(pairs: DataFrame, k: int) -> DataFrame:
     once = pairs.where("query_id <> vec_id").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
@@ -289,7 +321,10 @@ def _ranked(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _scanned(pts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """Exact neighbours of ``asked``: all points pass by the queries, ``SCAN_QUERIES`` at a time."""
+    """Exact neighbours of ``asked``: all points pass by the queries, ``SCAN_QUERIES`` at a time.
+
+    What a turn finds is written as a table before the next, so neither the plan nor what a task holds grows with their number.
+    """
     out, after = None, F.lit(True)
     asked = asked.select("id", "v").distinct()
     while True:
@@ -310,7 +345,7 @@ def _scanned(pts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
                     rows += zip([q] * len(own), own, far, strict=True)
                 yield pd.DataFrame(rows, columns=["query_id", "vec_id", "score"])
 
-        found = pts.mapInPandas(scan, "query_id long, vec_id long, score double")
+        found = written(_ranked(pts.mapInPandas(scan, "query_id long, vec_id long, score double"), k).drop("rank"), "neighbours-scanned")
         out = found if out is None else out.unionByName(found)
         if len(got) < SCAN_QUERIES:
             break
@@ -320,4 +355,5 @@ def _scanned(pts: DataFrame, asked: DataFrame, k: int) -> DataFrame:
 
 
 def op5_neighbours(spark, sf_dir: str) -> DataFrame:
+    """``search`` over all embeddings; odd rows as stated there."""
     return search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

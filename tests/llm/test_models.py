@@ -82,6 +82,22 @@ def test_grammar():
     assert g.matches("idiot " * 3) == {"insult": 9.0}
 
 
+def test_toxicity_long_texts_are_read_once():
+    import time
+
+    grammar = toxicity.Grammar({"idiot": 3.0})
+    one = "word " * 30 + "you idiot, "
+    assert grammar.matches("He said idiot. You idiot! nothing")["reported"] == 3.0
+    assert grammar.matches(one * 50 + ". " + one)["aimed"] == 51 * 3.0
+    took = []
+    for n in (4000, 16000):
+        text = (one.replace(",", ".")) * n
+        began = time.process_time()
+        assert grammar.matches(text)["aimed"] == 3.0 * n
+        took.append(time.process_time() - began)
+    assert took[1] < 9 * took[0] + 0.5
+
+
 def test_training_sample_is_bounded(spark):
     df, labels, _ = labelled(spark, prose, "toxic")
     rows = supervised.training_rows(df, labels, "toxic", lambda i: supervised.remainder(i, 4) != 2, rows=20)
@@ -163,6 +179,16 @@ def test_neighbours_edge_cases(spark):
     assert neighbours.search(vectors(spark, [])).collect() == []
 
 
+def test_neighbours_without_an_index(spark, monkeypatch):
+    x = np.random.default_rng(3).normal(size=(300, 8))
+    monkeypatch.setattr(neighbours, "MOST_PROBES", 1)
+    assert neighbours.fit(x, 300) is None
+    found = {}
+    for r in neighbours.search(vectors(spark, x)).orderBy("query_id", "rank").collect():
+        found.setdefault(r.query_id, []).append(r.vec_id)
+    assert found == {q: list(exact_neighbours(x, np.arange(300), q)) for q in (0, 100, 200)}
+
+
 def test_neighbours_repeated_rows(spark, monkeypatch):
     """Copies of a row, and many vectors of one id, take no other id's place: by hashing and by the scan."""
     r = np.random.default_rng(11)
