@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import small_batches, trimmed
+from tessera.llm.common import carried, small_batches, trimmed
 
 #: Rows of a matrix have at most so many bytes; a longer piece is merged by the same rule with a queue, as its rounds
 #: over whole rows would take quadratic time.
@@ -256,9 +256,10 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, *, id_col:
                 raw = ids.astype("<u4").tobytes()
                 yield b.iloc[lo:hi][["id"]].assign(n_tokens=np.diff(at), ids=[raw[4 * at[i] : 4 * at[i + 1]] for i in range(hi - lo)], decoded=[whole[cut[i] : cut[i + 1]] for i in range(hi - lo)])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    taken = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    return taken.mapInPandas(run, f"id {kind}, n_tokens bigint, ids binary, decoded binary").withColumnRenamed("id", id_col)
+    carry, kind = carried(docs, id_col)
+    taken = docs.select(F.col(id_col).cast(carry).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    out = taken.mapInPandas(run, f"id {carry}, n_tokens bigint, ids binary, decoded binary")
+    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def op2_bpe(spark, sf_dir: str) -> DataFrame:

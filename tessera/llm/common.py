@@ -95,6 +95,12 @@ def numbered(df: DataFrame, id_col: str, name: str) -> DataFrame:
     return written(df.withColumn(name, F.monotonically_increasing_id()), "numbered")
 
 
+def carried(df: DataFrame, id_col: str) -> tuple[str, str]:
+    """(the type in which an id goes through pandas, its own type): whole numbers go as text, as beside nulls they'd become floats."""
+    kind = df.schema[id_col].dataType.simpleString()
+    return "string" if kind in ("bigint", "int", "smallint", "tinyint") else kind, kind
+
+
 def positional(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` with its columns named c0, c1, ..., and those names by column: no column can clash with one that is added."""
     at = {c: f"c{i}" for i, c in enumerate(df.columns)}

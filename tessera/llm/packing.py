@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import chunks
-from tessera.llm.common import small_batches, trimmed
+from tessera.llm.common import carried, small_batches, trimmed
 
 TIERS = (256, 512, 1024, 2048)
 STEP_TOKENS = 1 << 16
@@ -194,7 +194,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
 
         key = 0
         for b in trimmed(batches):
-            texts, docs_ = b["t"].tolist(), b["id"].tolist() if not b["id"].isna().any() else [None if pd.isna(x) else int(x) if isinstance(x, float) else x for x in b["id"]]
+            texts, docs_ = b["t"].tolist(), [None if pd.isna(x) else x for x in b["id"]]
             for lo, hi in chunks(texts, chunk_chars):
                 for i in range(lo, hi):
                     ids = np.append(tokenizer(texts[i]), np.uint32(end_id)).astype("<u4")
@@ -207,10 +207,10 @@ def pack(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_c
                 yield rows(fill_windows(pool))
         yield rows(powers(pool))
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    taken = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    out = taken.mapInPandas(run, f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_group bigint")
-    return out.withColumnRenamed("id", id_col)
+    carry, kind = carried(docs, id_col)
+    taken = docs.select(F.col(id_col).cast(carry).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    out = taken.mapInPandas(run, f"id {carry}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint, tier int, step_group bigint")
+    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 NAMES = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]

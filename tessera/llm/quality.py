@@ -172,15 +172,15 @@ def learn(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> Addi
     return fit(x, got["y"].to_numpy(dtype=np.float64))
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, *, keep: list[str] | None = None, rows: int = TRAIN_ROWS) -> DataFrame:
-    """One row for each document: doc_id (or ``keep``), held_out, score, predicted.
+def quality_scores(docs: DataFrame, labels: DataFrame, *, rows: int = TRAIN_ROWS) -> DataFrame:
+    """One row for each document: doc_id, held_out, score, predicted.
 
     Null texts count as empty, and empty texts are scored like others. Rows with a null id aren't held out. Repeated rows
     each get the same score. Labels other than 0 and 1 are ignored; of several labels of a document the largest holds.
-    Columns of ``docs`` other than the id, the text and ``keep`` aren't read.
+    Columns of ``docs`` other than the id and the text aren't read.
     """
     model = learn(docs, labels, rows=rows)
-    return score_all(docs, lambda texts: model.score(features(texts)), lambda i: remainder(i, 5) == 0, keep=keep)
+    return score_all(docs, lambda texts: model.score(features(texts)), lambda i: remainder(i, 5) == 0)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import numbered, small_batches, trimmed, written
+from tessera.llm.common import carried, numbered, small_batches, trimmed, written
 
 WIDTH = 400
 GRAM = 16
@@ -399,16 +399,16 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     Empty tables give none; other columns aren't read.
     """
     small_batches(docs.sparkSession)
+    carry, kind = carried(docs, id_col)
     named = numbered(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("t")), "id", "doc")
     spans = repeated_spans(named.select("doc", "t"), width=width, hot=hot)
-    kind = docs.schema[id_col].dataType.simpleString()
 
     def pack(batches):
         z = zstandard.ZstdCompressor(level=3)
         for b in _slices(batches):
             yield b.assign(t=[z.compress(t.encode("utf-8", "surrogatepass")) for t in b["t"]])
 
-    texts = named.select("doc", "id", "t").mapInPandas(pack, f"doc bigint, id {kind}, t binary")
+    texts = named.select("doc", F.col("id").cast(carry).alias("id"), "t").mapInPandas(pack, f"doc bigint, id {carry}, t binary")
 
     def cut(batches):
         z = zstandard.ZstdDecompressor()
@@ -424,8 +424,8 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                 n.append(len(raw)), runs.append(list(spans_)), left.append(b"".join(kept))
             yield pd.DataFrame({"id": b["id"], "n_bytes": n, "spans": runs, "kept": left})
 
-    out = texts.join(spans, "doc", "left").mapInPandas(cut, f"id {kind}, n_bytes bigint, spans array<struct<s: bigint, e: bigint>>, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    out = texts.join(spans, "doc", "left").mapInPandas(cut, f"id {carry}, n_bytes bigint, spans array<struct<s: bigint, e: bigint>>, kept binary")
+    return out.withColumn("id", F.col("id").cast(kind)).withColumnRenamed("id", id_col)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

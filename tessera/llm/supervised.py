@@ -34,20 +34,11 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Callabl
     return docs.join(F.broadcast(chosen), F.col(id_col) == F.col("_k")).where(F.length(text) <= TRAIN_CHARS).select(F.col("_k").alias("id"), text.alias("text"), F.col("_y").alias("y"))
 
 
-def score_all(docs: DataFrame, score: Callable[[list[str]], np.ndarray], held_out: Callable[[Column], Column], *, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns (the id alone by default), held_out, score, predicted; one narrow pass, nothing is shuffled."""
+def score_all(docs: DataFrame, score: Callable[[list[str]], np.ndarray], held_out: Callable[[Column], Column], *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, held_out, score, predicted for each document; one narrow pass, nothing is shuffled, and ids stay in the JVM."""
     small_batches(docs.sparkSession)
-    keep = keep or [id_col]
-    taken = docs.select(*[F.col(c).alias(f"k{i}") for i, c in enumerate(keep)], F.coalesce(held_out(F.col(id_col)), F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-    parts = [(f.name, f.dataType.simpleString()) for f in taken.schema if f.name != "t"]
-
-    def run(batches):
-        for b in trimmed(batches):
-            b["score"] = np.asarray(score(b["t"].tolist()), dtype=np.float64) if len(b) else pd.Series(dtype="float64")
-            yield b.drop(columns="t")
-
-    out = taken.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in parts) + ", score double")
-    return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)], "held_out", "score", (F.col("score") >= F.lit(THRESHOLD)).cast("int").alias("predicted"))
+    out = docs.select(F.col(id_col).alias("i"), scored_column(score, F.col(text_col)).alias("s"))
+    return out.select(F.col("i").alias(id_col), F.coalesce(held_out(F.col("i")), F.lit(False)).alias("held_out"), F.col("s").alias("score"), (F.col("s") >= F.lit(THRESHOLD)).cast("int").alias("predicted"))
 
 
 def scored_column(score: Callable[[list[str]], np.ndarray], text: Column) -> Column:
