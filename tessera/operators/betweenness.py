@@ -19,12 +19,12 @@ def dependencies(graph: Graph, sources: list[int]) -> DataFrame:
     for s in sources:
         if not 0 <= s < graph.num_nodes:
             raise ValueError(f"source {s} is not a vertex")
-    edges = graph.by_source().select("src", "dst")
+    edges = graph.kept()
     start = spark.range(len(sources)).select(F.get(F.array(*[F.lit(s).cast("bigint") for s in sources]), F.col("id").cast("int")).alias("s"))
     level, _ = tables.write(start.distinct().select("s", F.col("s").alias("id"), F.lit(0).alias("depth"), F.lit(1.0).alias("sigma")), "forward")
     levels, visited, parts = [level], level, list(tables.made["forward"])
     while True:
-        reached = level.select("s", F.col("id").alias("src"), "sigma").join(edges, "src").groupBy("s", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
+        reached = edges.along(level.select("s", F.col("id").alias("src"), "sigma")).groupBy("s", F.col("dst").alias("id")).agg(F.sum("sigma").alias("sigma"))
         fresh = reached.join(visited.select("s", "id"), ["s", "id"], "left_anti").select("s", "id", F.lit(len(levels)).alias("depth"), "sigma")
         level, seen = tables.write(fresh, "forward", n=F.count("*"))
         if not seen["n"]:
@@ -38,7 +38,7 @@ def dependencies(graph: Graph, sources: list[int]) -> DataFrame:
     below, _ = tables.write(levels[-1].withColumn("delta", F.lit(0.0)), "back")
     for level in reversed(levels[:-1]):
         share = below.select("s", F.col("id").alias("dst"), ((F.lit(1.0) + F.col("delta")) / F.col("sigma")).alias("share"))
-        given = level.select("s", F.col("id").alias("src")).join(edges, "src").join(share, ["s", "dst"]).groupBy("s", F.col("src").alias("id")).agg(F.sum("share").alias("share"))
+        given = edges.along(level.select("s", F.col("id").alias("src"))).join(share, ["s", "dst"]).groupBy("s", F.col("src").alias("id")).agg(F.sum("share").alias("share"))
         below, _ = tables.write(level.join(given, ["s", "id"], "left").select("s", "id", "depth", "sigma", (F.col("sigma") * F.coalesce("share", F.lit(0.0))).alias("delta")), "back")
     return spark.read.schema(below.schema).parquet(*tables.made["back"])
 

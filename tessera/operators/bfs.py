@@ -22,13 +22,13 @@ def bfs(graph: Graph, source: int, max_levels: int | None = None) -> DataFrame:
     spark, tables = graph.spark, Tables(graph.spark, "bfs")
     if not 0 <= source < graph.num_nodes:
         raise ValueError(f"source {source} is not a vertex")
-    edges = graph.by_source()
+    edges = graph.kept()
     start = spark.range(source, source + 1).select("id", F.lit(0).alias("depth"), F.col("id").alias("parent"))
     frontier, _ = tables.write(start, "level")
     visited, depth, parts = frontier, 0, list(tables.made["level"])
     while max_levels is None or depth < max_levels:
         depth += 1
-        reached = frontier.select(F.col("id").alias("src")).join(edges.select("src", "dst"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+        reached = edges.along(frontier.select(F.col("id").alias("src"))).groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         fresh = reached.join(visited.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "parent")
         frontier, seen = tables.write(fresh, "level", n=F.count("*"))
         if not seen["n"]:

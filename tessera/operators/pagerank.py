@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.graph import Graph
+from tessera.plans.graph import Graph, KeptEdges
 from tessera.plans.loop import Tables
 
 DAMPING = 0.85
@@ -28,14 +28,13 @@ def pagerank(graph: Graph, max_iters: int = 20, epsilon: float = 1e-4, damping:
     scores and partial sums, never edges.
     """
     n, tables = graph.num_nodes, Tables(graph.spark, "pagerank")
-    parts = int(graph.spark.conf.get("spark.sql.shuffle.partitions"))
     degree = graph.edges.groupBy("src").agg(F.count("*").alias("degree"))
-    edges = graph.edges.select("src", "dst").join(degree, "src").repartition(parts, "src").sortWithinPartitions("src").persist()
+    edges = KeptEdges(graph.edges.select("src", "dst").join(degree, "src"), graph.num_entries)
     scores, _ = tables.write(graph.vertices().select("id", F.lit(1.0 / n if n else 0.0).alias("score")), "scores")
     done, error = 0, float("inf")
     try:
         while done < max_iters:
-            given = scores.select(F.col("id").alias("src"), "score").join(edges, "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
+            given = edges.along(scores.select(F.col("id").alias("src"), "score")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
             after = scores.withColumnRenamed("score", "old").join(given, "id", "left").select("id", "old", (F.lit((1 - damping) / n if n else 0.0) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("score"))
             scores, seen = tables.write(after, "scores", 2, change=F.sum(F.abs(F.col("score") - F.col("old"))))
             scores = scores.select("id", "score")
@@ -43,5 +42,5 @@ def pagerank(graph: Graph, max_iters: int = 20, epsilon: float = 1e-4, damping:
             if error < epsilon:
                 break
     finally:
-        edges.unpersist()
+        edges.edges.unpersist()
     return Ranks(scores, done, error)

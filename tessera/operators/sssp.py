@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tessera.plans.graph import Graph
 from tessera.plans.loop import Tables
 
+#: Steps after which the distances become one table.
+COMPACT = 32
 #: Fixed value: the distance of what can't be reached.
 UNREACHED = 1073741823
 
@@ -16,8 +18,9 @@ def sssp(graph: Graph, source: int, delta: int | None = None) -> DataFrame:
     """(id, dist): the least sum of weights from ``source``; ``UNREACHED`` where there is no path shorter than that.
 
     Vertices whose distance fell wait for their edges to be relaxed. A step takes those in the lowest bucket of width
-    ``delta`` (all of them where it is None); the result is the same for any width. A step is one job: it relaxes, writes the
-    distances, and observes what waits.
+    ``delta`` (all of them where it is None); the result is the same for any width. A step writes what its relaxed edges offer,
+    and then the vertices that wait after it, of which the improved ones are fresh. The least of a vertex's fresh rows is its
+    distance, so no step rewrites the distances of all; they become one table now and then.
     """
     if not graph.weighted:
         raise ValueError("shortest paths need weights")
@@ -26,19 +29,25 @@ def sssp(graph: Graph, source: int, delta: int | None = None) -> DataFrame:
     if not 0 <= source < graph.num_nodes:
         raise ValueError(f"source {source} is not a vertex")
     spark, tables = graph.spark, Tables(graph.spark, "sssp")
-    edges = graph.by_source()
-    state = spark.range(source, source + 1).select("id", F.lit(0).cast("bigint").alias("dist"), F.lit(True).alias("waits"))
-    state, _ = tables.write(state, "dist")
-    bound = None if delta is None else delta
-    while True:
-        now = F.col("waits") if bound is None else F.col("waits") & (F.col("dist") < bound)
-        relaxed = state.where(now).select(F.col("id").alias("src"), "dist").join(edges, "src").select(F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("d")).where(F.col("d") < UNREACHED).groupBy("id").agg(F.min("d").alias("d"))
-        both = state.select("id", "dist", (F.col("waits") & ~now).alias("waits")).join(relaxed, "id", "full")
-        better = F.col("d").isNotNull() & (F.col("dist").isNull() | (F.col("d") < F.col("dist")))
-        after = both.select("id", F.when(better, F.col("d")).otherwise(F.col("dist")).alias("dist"), (better | F.coalesce("waits", F.lit(False))).alias("waits"))
-        state, seen = tables.write(after, "dist", keep=2, least=F.min(F.when(F.col("waits"), F.col("dist"))))
-        if seen["least"] is None:
-            break
-        if delta is not None:
-            bound = (seen["least"] // delta + 1) * delta
-    return graph.vertices().join(state, "id", "left").select("id", F.coalesce("dist", F.lit(UNREACHED)).cast("bigint").alias("dist"))
+    edges = graph.kept()
+    first = spark.range(source, source + 1).select("id", F.lit(0).cast("bigint").alias("dist"), F.lit(True).alias("fresh"))
+    waits, seen = tables.write(first, "step", least=F.min("dist"))
+    parts, known = list(tables.made["step"]), waits
+    while seen["least"] is not None:
+        now = F.lit(True) if delta is None else F.col("dist") < (seen["least"] // delta + 1) * delta
+        ends = edges.along(waits.where(now).select(F.col("id").alias("src"), "dist"))
+        offers = ends.select(F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("d")).where(F.col("d") < UNREACHED).groupBy("id").agg(F.min("d").alias("d"))
+        offers, _ = tables.write(offers, "offers", 2)
+        held = known.where("fresh").join(offers.select("id"), "id", "left_semi").groupBy("id").agg(F.min("dist").alias("held"))
+        better = offers.join(held, "id", "left").where("held IS NULL OR d < held").select("id", F.col("d").alias("dist"), F.lit(True).alias("fresh"))
+        after = waits.where(~now).select("id", "dist", F.lit(False).alias("fresh")).unionByName(better).groupBy("id").agg(F.min("dist").alias("dist"), F.bool_or("fresh").alias("fresh"))
+        waits, seen = tables.write(after, "step", least=F.min("dist"))
+        parts.append(tables.made["step"][-1])
+        known = spark.read.schema(after.schema).parquet(*parts)
+        if len(parts) >= COMPACT:
+            known, _ = tables.write(known.where("fresh").groupBy("id").agg(F.min("dist").alias("dist")).withColumn("fresh", F.lit(True)), "known", keep=1)
+            for path in parts[:-1]:
+                tables.drop(path)
+            parts = list(tables.made["known"])
+    reached = known.where("fresh").groupBy("id").agg(F.min("dist").alias("dist"))
+    return graph.vertices().join(reached, "id", "left").select("id", F.coalesce("dist", F.lit(UNREACHED)).cast("bigint").alias("dist"))

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import weakref
 from dataclasses import dataclass, field
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import numbered
@@ -15,6 +17,45 @@ SCHEMA = "src bigint, dst bigint"
 WEIGHTED_SCHEMA = "src bigint, dst bigint, w int"
 
 
+#: Edges of one vertex from which on they may be dealt to several partitions.
+HUB_EDGES = 1_000_000
+
+
+def _unpersist(df: DataFrame) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended before
+        df.unpersist()
+
+
+class KeptEdges:
+    """Edges hash-partitioned and sorted by source and kept that way, so that iterations shuffle and sort vertex state only.
+
+    The edges of a hub, a vertex with more of them than a quarter of an even share, are dealt to several slices by their other
+    end, and state is copied to each slice of a hub when it meets them. Hubs are at most four for each partition, so their
+    table may be broadcast. Kept partitions that are lost with an executor are made again; they go when nothing uses this object.
+    """
+
+    def __init__(self, edges: DataFrame, entries: int):
+        spark = edges.sparkSession
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        most = max(HUB_EDGES, entries // (4 * n))
+        self.hubs, self.keys = None, ["src"]
+        if entries > most:
+            large = edges.groupBy("src").agg(F.count("*").alias("d")).where(F.col("d") > most)
+            rows = [(r.src, -(-r.d // most)) for r in large.collect()]
+            if rows:
+                self.hubs, self.keys = spark.createDataFrame(rows, "src bigint, slices bigint"), ["src", "slice"]
+                edges = edges.join(F.broadcast(self.hubs), "src", "left").withColumn("slice", F.pmod(F.xxhash64("dst"), F.coalesce("slices", F.lit(1)))).drop("slices")
+        self.edges = edges.repartition(n, *self.keys).sortWithinPartitions(*self.keys).persist(StorageLevel.MEMORY_AND_DISK)
+        weakref.finalize(self, _unpersist, self.edges).atexit = False
+
+    def along(self, state: DataFrame) -> DataFrame:
+        """Rows of ``state`` (src and more) joined to the edges that leave their src."""
+        if self.hubs is None:
+            return state.join(self.edges, "src")
+        sliced = state.join(F.broadcast(self.hubs), "src", "left").withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("slices", F.lit(1)) - 1))).drop("slices")
+        return sliced.join(self.edges, self.keys).drop("slice")
+
+
 @dataclass
 class Graph:
     """Vertices are 0..num_nodes-1. ``edges`` has one row for each adjacency entry: both directions of an undirected edge."""
@@ -24,7 +65,7 @@ class Graph:
     num_nodes: int
     directed: bool
     weighted: bool = False
-    _by_src: DataFrame | None = field(default=None, repr=False)
+    _kept: KeptEdges | None = field(default=None, repr=False)
     _entries: int | None = field(default=None, repr=False)
 
     # --- sizes
@@ -49,20 +90,16 @@ class Graph:
 
     # --- physical form
 
-    def by_source(self) -> DataFrame:
-        """Edges hash-partitioned and sorted by source and kept that way, so that iterations shuffle and sort vertex state only.
-
-        Kept partitions that are lost with an executor are made again from ``edges``.
-        """
-        if self._by_src is None:
-            n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            self._by_src = self.edges.repartition(n, "src").sortWithinPartitions("src").persist(StorageLevel.MEMORY_AND_DISK)
-        return self._by_src
+    def kept(self) -> KeptEdges:
+        """The edges by source, made at first use and kept as long as the graph."""
+        if self._kept is None:
+            self._kept = KeptEdges(self.edges, self.num_entries)
+        return self._kept
 
     def release(self) -> None:
-        if self._by_src is not None:
-            self._by_src.unpersist()
-            self._by_src = None
+        if self._kept is not None:
+            _unpersist(self._kept.edges)
+            self._kept = None
 
     # --- access
 
@@ -102,24 +139,28 @@ class Graph:
         kind = lists.schema["neighbors"].dataType
         return self.vertices().join(lists, "id", "left").select("id", F.coalesce("neighbors", F.array().cast(kind)).alias("neighbors"))
 
+    def _ordered(self, outgoing: bool) -> DataFrame:
+        """(id, neighbor, and w with weights, k): each vertex's neighbours numbered from 1 in order. No list is made, so hubs are sorted with spilling."""
+        key, other = ("src", "dst") if outgoing else ("dst", "src")
+        rest = ["w"] if self.weighted else []
+        order = Window.partitionBy("id").orderBy("neighbor", *rest)
+        return self.edges.select(F.col(key).alias("id"), F.col(other).alias("neighbor"), *rest).withColumn("k", F.row_number().over(order))
+
     def neighbors(self, start: int = 0, outgoing: bool = True) -> DataFrame:
         """(id, place, neighbor): each vertex's neighbours in order, from the ``start``-th on; none where it has fewer."""
-        lists = self.adjacency(outgoing)
-        found = lists.select("id", F.posexplode("neighbors").alias("place", "n")).where(F.col("place") >= start)
-        return found.select("id", "place", *(["n.v", "n.w"] if self.weighted else [F.col("n").alias("neighbor")])).withColumnRenamed("v", "neighbor")
+        found = self._ordered(outgoing).where(F.col("k") > start)
+        return found.select("id", (F.col("k") - 1).alias("place"), "neighbor", *(["w"] if self.weighted else []))
 
     def neighbor_at(self, place: int, outgoing: bool = True) -> DataFrame:
-        """(id, neighbor): one neighbour by its place in order, null where there are fewer."""
-        n = F.get("neighbors", F.lit(place))
-        return self.adjacency(outgoing).select("id", (n["v"] if self.weighted else n).alias("neighbor"))
+        """(id, neighbor): one neighbour by its place in order, null where there are fewer. Tasks give up no more than ``place + 1`` of a vertex."""
+        found = self._ordered(outgoing).where(F.col("k") == place + 1).select("id", "neighbor")
+        return self.vertices().join(found, "id", "left")
 
-    def adjacency_offsets(self, tables: Tables | None = None) -> DataFrame:
+    def adjacency_offsets(self) -> DataFrame:
         """(id, offset, out_degree): where each vertex's neighbours start when all lists follow each other.
 
         Ids are dense, so blocks of ids are summed first and a row a block gets the running sum.
         """
-        from pyspark.sql import Window
-
         block = max(1, self.num_nodes // 4096)
         d = self.out_degree().withColumn("b", F.expr(f"id div {block}"))
         sums = d.groupBy("b").agg(F.sum("out_degree").alias("n"))

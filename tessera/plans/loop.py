@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, which driver and executors share; a local folder where it is unset (local mode)."""
+    """``spark.checkpoint.dir``, which driver and executors share; a local folder where it is unset (local mode alone)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.gettempdir()}/checkpoints"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -53,6 +55,13 @@ class Tables:
                 remove(self.spark, old.pop(0))
         return self.spark.read.schema(df.schema).parquet(path), seen
 
+    def drop(self, path: str) -> None:
+        """Deletes a table that nothing reads any more."""
+        for old in self.made.values():
+            if path in old:
+                old.remove(path)
+        remove(self.spark, path)
+
     def _end(self) -> None:
         try:
             remove(self.spark, self.root)
