@@ -1,4 +1,7 @@
-"""Times the headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; prints one line of JSON."""
+"""Times the headline queries at ``$BENCH_SF_DIR`` on ``local[$BENCH_CPUS]``; prints one line of JSON.
+
+A query that fails is named in ``failed``, and the exit code tells.
+"""
 
 from __future__ import annotations
 
@@ -17,7 +20,7 @@ SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 
 
-def main() -> None:
+def main() -> int:
     spark = (
         SparkSession.builder.master(f"local[{CPUS}]")
         .appName("bench")
@@ -41,6 +44,7 @@ def main() -> None:
 
     spark.range(1000).selectExpr("sum(id)").collect()  # the session's first job
     timed("read", lambda: derived.flow_edges(spark, SF_DIR))
+    timed("generate_rmat_18", lambda: generators.rmat_edges(spark, 18))
     timed("generate_rmat_15", lambda: generators.rmat_edges(spark, 15))
     directed = timed("build_directed", lambda: derived.flow(spark, SF_DIR))
     both = timed("build_undirected", lambda: derived.flow(spark, SF_DIR, symmetrize=True))
@@ -55,14 +59,18 @@ def main() -> None:
         from tessera.llm import queries as llm
     except ImportError:
         llm = None
+    failed = []
     for name, query in (llm.queries() if llm else {}).items():
         try:
             timed(name, lambda query=query: query(spark, SF_DIR))
         except Exception as e:  # noqa: BLE001  one failure must not hide the other figures
             print(f"{name}: {str(e)[:300]}", file=sys.stderr)
-    print(json.dumps({"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": SF_DIR.rstrip("/").rsplit("/sf", 1)[-1]}))
+            failed.append(name)
+    out = {"metric": "total_query_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": SF_DIR.rstrip("/").rsplit("/sf", 1)[-1]}
+    print(json.dumps(out | ({"failed": failed} if failed else {})))
     spark.stop()
+    return int(bool(failed))
 
 
 if __name__ == "__main__":
-    main()
+    sys.exit(main())

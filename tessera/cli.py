@@ -22,20 +22,20 @@ def parser() -> argparse.ArgumentParser:
     subs = top.add_subparsers(dest="command", required=True)
     for name in (*KERNELS, "convert"):
         p = subs.add_parser(name)
-        p.add_argument("-f", dest="file", default="", help="load graph from file")
-        p.add_argument("-s", dest="symmetrize", action="store_true", help="symmetrize input edge list")
-        p.add_argument("-g", dest="rmat", type=int, default=-1, metavar="scale", help="generate R-MAT graph of 2^scale vertices")
-        p.add_argument("-u", dest="uniform", type=int, default=-1, metavar="scale", help="generate uniform random graph of 2^scale vertices")
-        p.add_argument("-k", dest="degree", type=int, default=16, help="average degree of a synthetic graph")
+        p.add_argument("-f", dest="file", default="", help="file to read the graph from")
+        p.add_argument("-s", dest="symmetrize", action="store_true", help="add the other direction of every edge")
+        p.add_argument("-g", dest="rmat", type=int, default=-1, metavar="scale", help="make an R-MAT graph with 2^scale vertices")
+        p.add_argument("-u", dest="uniform", type=int, default=-1, metavar="scale", help="make a uniform random graph with 2^scale vertices")
+        p.add_argument("-k", dest="degree", type=int, default=16, help="edges for each vertex of a synthetic graph")
         if name == "convert":
-            p.add_argument("-b", dest="serialized", default="", help="output serialized graph to file")
-            p.add_argument("-e", dest="edge_list", default="", help="output edge list to file")
-            p.add_argument("-w", dest="weighted", action="store_true", help="make output weighted")
+            p.add_argument("-b", dest="serialized", default="", help="where to write the binary form")
+            p.add_argument("-e", dest="edge_list", default="", help="where to write an edge list")
+            p.add_argument("-w", dest="weighted", action="store_true", help="write weights too")
             continue
-        p.add_argument("-a", dest="analysis", action="store_true", help="output analysis of the last run")
-        p.add_argument("-n", dest="trials", type=int, default=16, help="perform n trials")
-        p.add_argument("-r", dest="start", type=int, default=None, metavar="node", help="start from node r")
-        p.add_argument("-v", dest="verify", action="store_true", help="verify the output of each run")
+        p.add_argument("-a", dest="analysis", action="store_true", help="show figures of the last result")
+        p.add_argument("-n", dest="trials", type=int, default=16, help="number of trials")
+        p.add_argument("-r", dest="start", type=int, default=None, metavar="node", help="vertex to start from")
+        p.add_argument("-v", dest="verify", action="store_true", help="check each result")
         p.add_argument("-o", dest="output", default="", help="write the results of each trial to a table")
         if name == "bc":
             p.add_argument("-i", dest="iters", type=int, default=1, help="sources of a trial")
@@ -53,7 +53,7 @@ def build(spark: SparkSession, args: argparse.Namespace, weighted: bool) -> Grap
     if args.uniform >= 0 or args.rmat >= 0:
         uniform = args.uniform >= 0
         return timed("Generate Time", lambda: generate_graph(spark, args.uniform if uniform else args.rmat, args.degree, uniform=uniform, weighted=weighted))
-    raise SystemExit("No graph input specified. (Use -h for help)")
+    raise SystemExit("a graph is needed: -f, -g or -u")
 
 
 def run(spark: SparkSession, args: argparse.Namespace):
@@ -61,7 +61,7 @@ def run(spark: SparkSession, args: argparse.Namespace):
     name = args.command
     if name == "convert":
         if not (args.serialized or args.edge_list):
-            raise SystemExit("No output file specified")
+            raise SystemExit("nothing to write: -b or -e")
         graph = build(spark, args, args.weighted)
         print(graph.describe())
         if args.serialized:
@@ -86,7 +86,7 @@ def run(spark: SparkSession, args: argparse.Namespace):
         kernel, look, check = (lambda t: betweenness.betweenness(graph, sources[t * per : (t + 1) * per])), analysis.top_k, (lambda r, t: verify.verify_betweenness(graph, sources[t * per : (t + 1) * per], r))
     else:
         if graph.directed:
-            raise SystemExit("Input graph is directed but tc requires undirected")
+            raise SystemExit("triangles need an undirected graph: try -s")
         kernel, look, check = (lambda t: triangles.triangle_count(graph)), (lambda r: r.select(F.concat_ws(" ", "triangles", F.lit("triangles")).alias("stats"))), (lambda r, t: verify.verify_triangles(graph, r.first()[0]))
     sink = (lambda r, t: write_results(r, args.output, t)) if args.output else None
     return run_trials(graph, kernel, trials=args.trials, analysis=look if args.analysis else None, verifier=check if args.verify else None, sink=sink)

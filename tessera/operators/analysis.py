@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from tessera.operators.sssp import UNREACHED
 from tessera.plans.graph import Graph
+from tessera.sources.generators import SEED
 
-SEED = 27491095
 
 
 def top_k(rows: DataFrame, k: int = 5, key: str = "id", value: str = "score", digits: int | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions.columns import permuted, uniform_int, unit
 
+#: The seed of all random choices, and edges for each vertex.
 SEED = 27491095
 DEGREE = 16
 #: The chances of the quadrants of an R-MAT matrix; the fourth has the rest.

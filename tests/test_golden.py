@@ -136,6 +136,14 @@ def test_verifiers_reject(spark, t1, t2):
     assert any(verify.verify_cc(t1, components.afforest(t1).selectExpr("id", "if(comp = 4, 0, comp) comp")).first())
     assert any(verify.verify_pagerank(t1, t1.vertices().selectExpr("id", "0.5D score")).first())
     assert any(verify.verify_triangles(t2, 6).first())
+    scores = betweenness.betweenness(t1, [0, 1])
+    assert any(verify.verify_betweenness(t1, [0, 1], scores.selectExpr("id", "if(id = 3, score + 0.01, score) score")).first())
+    assert any(verify.verify_betweenness(t1, [0, 1], scores.where("id <> 3")).first())
+    tree = bfs.bfs(t1, 0)
+    changes = [("if(id = 0, 1, depth) depth", "parent"), ("depth", "if(id = 0, 1, parent) parent"), ("depth", "if(id = 3, 0, parent) parent"), ("if(id = 4, 1, depth) depth", "parent")]
+    for depth, parent in changes:
+        assert any(verify.verify_bfs(t1, 0, tree.selectExpr("id", depth, parent)).first())
+    assert any(verify.verify_bfs(t1, 0, tree.where("id <> 5")).first())
 
 
 @pytest.mark.parametrize(("comp", "bad"), [("if(comp = 4, 40, comp)", 3), ("if(comp = 4, 6, comp)", 2), ("if(comp = 4, 7, if(comp = 7, 4, comp))", 4), ("if(comp = 4, NULL, comp)", 3)])
