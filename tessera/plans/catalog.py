@@ -145,6 +145,22 @@ def partition_round_robin(spark, sf):
     return partition.partition_round_robin(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_orderkey", 5)
 
 
+_LAST = "SELECT CAST({k} AS INTEGER) AS owners, CAST(CASE WHEN n < {k} THEN {k} - 1 ELSE least(id // greatest(n // {k}, 1), {k} - 1) END AS INTEGER) AS owner, count(*) AS vertices FROM n, v GROUP BY 1, 2"
+
+
+@register("partition_rest_to_last", " UNION ALL ".join(_LAST.format(k=k) for k in (7, 1_000_000)))
+def partition_rest_to_last(spark, sf):
+    graph = derived.flow(spark, sf)
+    parts = [graph.vertices().select(F.lit(k).alias("owners"), partition.rest_to_last_owner(F.col("id"), graph.num_nodes, k).alias("owner")) for k in (7, 1_000_000)]
+    return parts[0].unionByName(parts[1]).groupBy("owners", "owner").agg(F.count("*").alias("vertices"))
+
+
+@register("partition_round_robin_sizes", "SELECT CAST(k % 7 AS INTEGER) AS owner, count(*) AS positions FROM (SELECT row_number() OVER () - 1 AS k FROM raw) GROUP BY 1")
+def partition_round_robin_sizes(spark, sf):
+    total = derived.flow_edges(spark, sf).count()
+    return spark.createDataFrame([(i, partition.round_robin_size(total, i, 7)) for i in range(7)], "owner int, positions bigint")
+
+
 # --- kernels ---------------------------------------------------------------------------------------------------------
 
 BFS = """s(v, depth) USING KEY (v) AS (SELECT 0::BIGINT, 0 UNION SELECT e.dst, max(s.depth) + 1 FROM s JOIN {0} e ON e.src = s.v
@@ -466,6 +482,21 @@ def generate_weights(spark, sf):
     return generators.with_weights(generators.rmat_edges(spark, 10))
 
 
+#: What holds for any seed: how many edges, which ids and weights, and that only one of the two kinds has hubs.
+_KINDS = "SELECT * FROM (VALUES ('rmat', 16384, true, true, true), ('uniform', 16384, true, false, true)) AS t(kind, edges, ids_in_range, has_hubs, weights_in_range)"
+
+
+@register("generate_summary", "SELECT kind, CAST(edges AS BIGINT) AS edges, ids_in_range, has_hubs, weights_in_range FROM (" + _KINDS + ")")
+def generate_summary(spark, sf):
+    parts = []
+    for kind, edges in (("rmat", generators.rmat_edges(spark, 10)), ("uniform", generators.uniform_edges(spark, 10))):
+        e = generators.with_weights(edges)
+        top = e.groupBy("src").agg(F.count("*").alias("d")).agg((F.max("d") > 16 * 4).alias("has_hubs"))
+        inside = e.agg(F.count("*").alias("edges"), F.every(F.least("src", "dst").between(0, 1023) & F.greatest("src", "dst").between(0, 1023)).alias("ids_in_range"), ((F.min("w") >= 1) & (F.max("w") <= generators.MAX_WEIGHT) & (F.count_distinct("w") > 200)).alias("weights_in_range"))
+        parts.append(inside.crossJoin(top).select(F.lit(kind).alias("kind"), "edges", "ids_in_range", "has_hubs", "weights_in_range"))  # both are one row
+    return parts[0].unionByName(parts[1])
+
+
 @register("generate_permutation", "SELECT count(*) AS ids, count(DISTINCT id) AS images, min(id) AS least, max(id) AS most FROM (SELECT unnest(range(2048)) AS id)")
 def generate_permutation(spark, sf):
     p = permuted(spark.range(2048), ["id"], 11, 5)
