@@ -9,16 +9,20 @@ windows have equal anchors at equal offsets, and nothing is lost.
    region of its windows. Splitters sampled from t1 range-partition the rows; a bucket sorts its rows by multikey
    quicksort. Neighbours equal in both tokens: every window of the anchor repeats. Equal in t1 alone: some may.
 2. For the latter, one region of each kind is cut from the texts and sent to the bucket of its t1, where the regions' windows
-   are sorted by multikey quicksort on tokens of half a window each; neighbours that are equal repeat.
+   are sorted by multikey quicksort on their two tokens; neighbours that are equal repeat.
 3. A t1 with so many regions that a bucket can't hold them sends windows in place of regions. Those are range-partitioned by
    their own sampled splitters; a window that very many texts share fills several buckets, each of which finds it, and
    the last row of a bucket is compared with the first ones of the next.
 
-Tokens are 64-bit rolling hashes; strings are taken as equal when both tokens (128 bits) are.
+Tokens are polynomials of the bytes modulo the prime 2**61 - 1, each of the two with a base of its own: two different
+strings of n bytes share one token with a chance of at most n / 2**61 and both with its square, whatever their bytes are.
+Strings are taken as equal when both tokens are.
 """
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 import pandas as pd
 import zstandard
@@ -39,11 +43,16 @@ BUCKET_BYTES = 6_000_000
 #: Regions of one t1 beyond which windows are sent in their place.
 HOT_REGIONS = 20_000
 
-# An odd multiplier with its inverse modulo 2**64, and a random word for each byte value.
+_PRIME = 2**61 - 1
+_P, _LOW30, _LOW31 = np.uint64(_PRIME), np.uint64(2**30 - 1), np.uint64(2**31 - 1)
+#: Values that are multiplied at a time, so that what is made on the way stays in a processor's cache.
+_STRETCH = 1 << 13
+_30, _31, _61 = np.uint64(30), np.uint64(31), np.uint64(61)
+
+# Drawn once: the two bases, and a word of its own for each byte value.
 _RNG = np.random.default_rng(11)
-_BASE = int(_RNG.integers(1, 2**62)) * 2 + 1
-_INVERSE = pow(_BASE, -1, 2**64)
-_VALUE = _RNG.integers(1, 2**63, size=256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_BASES = [int(b) for b in _RNG.integers(2**40, _PRIME - 1, size=2)]
+_VALUE = _RNG.choice(2**31 - 1, size=256, replace=False).astype(np.uint64) + np.uint64(1)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -51,22 +60,65 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """``x`` modulo the prime, for any 64-bit values."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def _shifted(x: np.ndarray) -> np.ndarray:
+    """``x`` * 2**31, congruent modulo the prime, for values below 2**62."""
+    return (x >> _30) + ((x & _LOW30) << _31)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, of values below it, from halves of 31 bits."""
+    ah, al, bh, bl = a >> _31, a & _LOW31, b >> _31, b & _LOW31
+    return _reduced((ah * bh << np.uint64(1)) + _shifted(ah * bl + al * bh) + al * bl)
+
+
+_powers: dict[int, np.ndarray] = {}
+
+
+def _power(base: int, n: int) -> np.ndarray:
+    """The first ``n`` powers of ``base`` or more; they are kept, as every pass needs the same ones."""
+    have = _powers.get(base, np.ones(1, np.uint64))
+    while len(have) < n:
+        have = np.concatenate([have, _times(have, np.uint64(pow(base, len(have), _PRIME)))])
+    _powers[base] = have
+    return have
+
+
 class Rolling:
-    """Hashes of any ranges of ``raw`` from prefix sums; equal bytes have equal hashes wherever they stand."""
-
-    def __init__(self, raw: np.ndarray):
-        n = len(raw)
-        power = np.empty(n + 1, np.uint64)
-        power[0] = 1
-        np.cumprod(np.full(n, _BASE, np.uint64), out=power[1:])
-        self.inverse = np.empty(n + 1, np.uint64)
-        self.inverse[0] = 1
-        np.cumprod(np.full(n, _INVERSE, np.uint64), out=self.inverse[1:])
-        self.sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_VALUE[raw] * power[:-1], out=self.sums[1:])
+    """Polynomials of any ranges of ``raw`` from prefix sums; equal bytes have equal values wherever they stand."""
+
+    def __init__(self, raw: np.ndarray, which: int = 0):
+        self.inverse = _power(pow(_BASES[which], -1, _PRIME), len(raw) + 1)
+        power = _power(_BASES[which], len(raw) + 1)
+        self.sums = np.zeros(len(raw) + 1, np.uint64)
+        for i in range(0, len(raw), _STRETCH):
+            j = min(i + _STRETCH, len(raw))
+            term = _times(_VALUE[raw[i:j]], power[i:j])
+            # Sums of the halves of a stretch stay far below 64 bits.
+            own = _reduced(_shifted(np.cumsum(term >> _31)) + np.cumsum(term & _LOW31))
+            self.sums[i + 1 : j + 1] = _reduced(own + self.sums[i])
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.sums[end] - self.sums[start]) * self.inverse[start])
+        out = np.empty(len(start), np.uint64)
+        for i in range(0, len(start), _STRETCH):
+            s, e = start[i : i + _STRETCH], end[i : i + _STRETCH]
+            out[i : i + len(s)] = _mix(_times(_reduced(self.sums[e] + _P - self.sums[s]), self.inverse[s]))
+        return out
+
+
+def _grams(raw: np.ndarray, gram: int) -> np.ndarray:
+    """A word for each ``gram`` bytes in a row, which only chooses anchors: words of ever longer strings, mixed in pairs."""
+    h, size = _mix(_VALUE[raw] * np.uint64(0x9E3779B97F4A7C15)), 1
+    while size < gram:
+        step = min(size, gram - size)
+        h = _mix(h[:-step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
+        size += step
+    return h
 
 
 def anchored(raws: list[bytes], width: int, keep: int | None = None) -> tuple[np.ndarray, ...]:
@@ -79,11 +131,10 @@ def anchored(raws: list[bytes], width: int, keep: int | None = None) -> tuple[np
     if len(raw) < width:
         return empty, empty, empty, empty, empty
     ends = np.cumsum(lens)
-    roll = Rolling(raw)
     at = np.arange(len(raw) - gram + 1)
     # The upper bits order grams by hash, the lower ones by place: the minimum is the leftmost gram of least hash.
     low = np.uint64(max(24, int(len(raw)).bit_length()))
-    best = (roll(at, at + gram) >> low << low) | at.astype(np.uint64)
+    best = (_grams(raw, gram) >> low << low) | at.astype(np.uint64)
     size = 1
     while size * 2 <= span:
         best = np.minimum(best[:-size], best[size:])
@@ -98,9 +149,9 @@ def anchored(raws: list[bytes], width: int, keep: int | None = None) -> tuple[np
     anchor = (best[p] & ((np.uint64(1) << low) - np.uint64(1))).astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (text[p[1:]] != text[p[:-1]])]))
     first, last, a = p[new], p[np.append(new[1:], len(p)) - 1], anchor[new]
-    t1 = roll(a, a + (width - span + 1))
+    t1 = Rolling(raw)(a, a + (width - span + 1))
     shape = (a - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ (last - first).astype(np.uint64)
-    t2 = _mix(roll(first, last + width) ^ shape)
+    t2 = _mix(Rolling(raw, 1)(first, last + width) ^ shape)
     own = text[first]
     return own, first - (ends - lens)[own], last - first, t1.view(np.int64), t2.view(np.int64)
 
@@ -302,16 +353,22 @@ def repeated_spans(docs: DataFrame, *, width: int = WIDTH, hot: int = HOT_REGION
 
 
 def _windows(regions: list[bytes], width: int):
-    """Tokens of every window of every region: (first half, second half, (region, place in it))."""
+    """Tokens of every window of every region: (one, the other, (region, place in it)). Some ``PASS_BYTES`` are hashed at a time."""
     lens = np.array([len(r) for r in regions], np.int64)
-    raw = np.frombuffer(b"".join(regions), np.uint8)
-    starts = np.cumsum(lens) - lens
     n = lens - width + 1
     own = np.repeat(np.arange(len(regions)), n)
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    p = starts[own] + place
-    roll, half = Rolling(raw), width // 2
-    return roll(p, p + half).view(np.int64), roll(p + half, p + width).view(np.int64), (own, place)
+    tokens = [], []
+    chunk = (np.cumsum(lens) - lens) // PASS_BYTES
+    for lo, hi in itertools.pairwise([*np.flatnonzero(np.diff(chunk, prepend=-1)), len(regions)]):
+        raw = np.frombuffer(b"".join(regions[lo:hi]), np.uint8)
+        starts = np.cumsum(lens[lo:hi]) - lens[lo:hi]
+        first, end = np.searchsorted(own, [lo, hi])
+        p = starts[own[first:end] - lo] + place[first:end]
+        for which, out in enumerate(tokens):
+            out.append(Rolling(raw, which)(p, p + width).view(np.int64))
+    w1, w2 = (np.concatenate(t) if t else np.zeros(0, np.int64) for t in tokens)
+    return w1, w2, (own, place)
 
 
 def _intervals(doc: np.ndarray, p: np.ndarray, width: int) -> pd.DataFrame:
@@ -350,8 +407,7 @@ def _hot_windows(texts: DataFrame, count: int, width: int, floor: int) -> DataFr
             a = [x for x in a if x["kind"] > 2]
             if a:
                 w1, w2, (own, place) = _windows([raw[x["at"] >> 8 : (x["at"] >> 8) + (x["at"] & 255) + width] for x in a], width)
-                # Ranges go by a name of the whole window, so that only one window's rows can fill several buckets.
-                w1 = _mix(w1.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + w2.view(np.uint64)).view(np.int64)
+                # Ranges go by a token of the whole window, so that only one window's rows can fill several buckets.
                 first, mine = np.array([x["at"] >> 8 for x in a]), np.array([x["kind"] == 3 for x in a])
                 yield doc, w1, w2, first[own] + place, mine[own]
 

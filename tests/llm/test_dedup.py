@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,8 +63,6 @@ def test_near(spark, block):
 
 
 def test_near_products_match_single_intersections():
-    import numpy as np
-
     sets = [ngram_join.shingles(t) for _, t in near_rows() if t]
     n = np.arange(len(sets))
     many = ngram_join.verified(sets, n, None, np.ones((len(n), len(n)), bool), 0.8)
@@ -118,8 +117,6 @@ def test_repeats_of_rows_and_empty(spark):
 
 
 def test_multikey_quicksort():
-    import numpy as np
-
     r = np.random.default_rng(1)
     a, b = r.integers(-3, 3, 5000), r.integers(-(2**62), 2**62, 5000) >> r.integers(0, 62, 5000)
     o = suffix_dedup.multikey_quicksort(a, b, small=16)
@@ -130,3 +127,26 @@ def test_components_have_no_bound_of_rounds(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "range", lambda n: [0], raising=False)
     edges = spark.createDataFrame([(i, i + 1) for i in range(20)], "a int, b int")
     assert {(r.node, r.root) for r in ngram_join.components(edges).collect()} == {(i, 0) for i in range(21)}
+
+
+def test_rolling_tokens_are_polynomials_modulo_the_prime():
+    prime = suffix_dedup._PRIME
+    rng = np.random.default_rng(3)
+    a = np.append(rng.integers(0, prime, 500, np.uint64), np.array([0, 1, prime - 1], np.uint64))
+    for b in (a[::-1], np.full(len(a), prime - 1, np.uint64)):
+        assert suffix_dedup._times(a, b).tolist() == [int(x) * int(y) % prime for x, y in zip(a, b, strict=True)]
+    raw = rng.integers(0, 256, 3 * suffix_dedup._STRETCH, np.uint8)
+    for which, base in enumerate(suffix_dedup._BASES):
+        roll = suffix_dedup.Rolling(raw, which)
+        for s, e in ((0, 400), (suffix_dedup._STRETCH - 100, suffix_dedup._STRETCH + 300), (len(raw) - 1, len(raw))):
+            plain = sum(int(suffix_dedup._VALUE[raw[i]]) * pow(base, i - s, prime) for i in range(s, e)) % prime
+            assert roll(np.array([s]), np.array([e])) == suffix_dedup._mix(np.array([plain], np.uint64))
+
+
+def test_strings_of_hard_structure_have_different_tokens():
+    # Sums modulo a power of two can't tell these apart.
+    bit = np.array([i.bit_count() & 1 for i in range(2048)], np.uint8)
+    for n in (256, 512, 1024, 2048):
+        for which in (0, 1):
+            one, other = (suffix_dedup.Rolling(x[:n] + np.uint8(97), which)(np.array([0]), np.array([n])) for x in (bit, 1 - bit))
+            assert one != other
