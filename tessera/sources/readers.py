@@ -163,37 +163,98 @@ def read_table(spark: SparkSession, path: str, src: str = "src", dst: str = "dst
 #: The binary form: bool directed, int64 entries, int64 nodes, int64 offsets[nodes + 1], int32 neighbours (or pairs of
 #: neighbour and weight); directed graphs have offsets and neighbours of the transpose after that. Little-endian.
 HEADER = 17
+#: Entries that are decoded at a time, slices of so many that a task takes, and offsets that are read at a time.
+SLICE, SLICES, OFFSETS = 1 << 20, 32, 1 << 17
+
+
+def _decoded(file, lo: int, hi: int, vertex: int, nodes: int, weighted: bool):
+    """(src, dst and w) of entries ``lo`` to ``hi`` of an open file; ``vertex`` is none after the one that has ``lo``."""
+    width = 8 if weighted else 4
+    while lo < hi:
+        last = min(vertex + OFFSETS, nodes)
+        off = np.frombuffer(file.read_at(8 * (last - vertex + 1), HEADER + 8 * vertex), "<i8")
+        end = min(hi, int(off[-1]))
+        if end > lo:
+            src = vertex + np.searchsorted(off, np.arange(lo, end), "right") - 1
+            raw = file.read_at(width * (end - lo), HEADER + 8 * (nodes + 1) + width * lo)
+            yield src, np.frombuffer(raw, "<i4").reshape(end - lo, -1)
+            lo = end
+        elif last == nodes:
+            raise GraphFormatError("offsets end before the entries")
+        vertex = last if lo >= off[-1] else int(src[-1])
+
+
+def _vertex_of(file, entry: int, nodes: int) -> int:
+    """The vertex that has an entry, by bisection of the offsets."""
+    lo, hi = 0, nodes
+    while lo < hi:
+        mid = (lo + hi) // 2
+        if int.from_bytes(file.read_at(8, HEADER + 8 * (mid + 1)), "little") > entry:
+            hi = mid
+        else:
+            lo = mid + 1
+    return lo
 
 
 def read_serialized(spark: SparkSession, path: str) -> Graph:
-    """A built graph from ``.sg`` or ``.wsg``, as it is: nothing is removed or sorted. A file is one row of up to 2 GB."""
+    """A built graph from ``.sg`` or ``.wsg``, as it is: nothing is removed or sorted. Tasks read slices of the entries.
+
+    A file system that pyarrow doesn't know gives the file as one row, of up to 2 GB.
+    """
+    import pyarrow
+    from pyarrow import fs as arrow_fs
+
     weighted = suffix_of(path) == "wsg"
-    try:
-        file = spark.read.format("binaryFile").load(path).select("content")
-        head = file.select(F.substring("content", 1, HEADER).alias("h")).first()
-    except AnalysisException as e:
-        raise FileNotFoundError(path) from e
-    if head is None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(at):
         raise FileNotFoundError(path)
-    raw = bytes(head.h)
-    directed, entries, nodes = bool(raw[0]), int.from_bytes(raw[1:9], "little"), int.from_bytes(raw[9:17], "little")
-    step = 1 << 20
-
-    def decode(batches):
+    stream = files.open(at)
+    try:
+        raw = bytes(stream.readNBytes(HEADER))
+    finally:
+        stream.close()
+    size, uri = files.getFileStatus(at).getLen(), files.makeQualified(at).toUri()
+    directed, entries, nodes = bool(raw[:1] != b"\0"), int.from_bytes(raw[1:9], "little"), int.from_bytes(raw[9:17], "little")
+    if size < HEADER + (2 if directed else 1) * (8 * (nodes + 1) + (8 if weighted else 4) * entries):
+        raise GraphFormatError(f"{path} is shorter than its header says")
+    local, name = uri.getScheme() == "file", uri.getPath() if uri.getScheme() == "file" else uri.toString()
+
+    def opened():
+        if local:
+            return arrow_fs.LocalFileSystem().open_input_file(name)
+        found, inner = arrow_fs.FileSystem.from_uri(name)
+        return found.open_input_file(inner)
+
+    def frame(src, data):
         import pandas as pd
 
+        out = {"src": src, "dst": data[:, 0].astype(np.int64)}
+        return pd.DataFrame(out | ({"w": data[:, 1]} if weighted else {}))
+
+    def slices(batches):
+        with opened() as file:
+            for b in batches:
+                for k in b["id"]:
+                    lo = int(k) * SLICE
+                    for part in _decoded(file, lo, min(lo + SLICE, entries), _vertex_of(file, lo, nodes), nodes, weighted):
+                        yield frame(*part)
+
+    def whole(batches):
         for b in batches:
             for content in b["content"]:
-                off = np.frombuffer(content, "<i8", nodes + 1, HEADER)
-                at = HEADER + 8 * (nodes + 1)
-                data = np.frombuffer(content, "<i4", entries * (2 if weighted else 1), at).reshape(entries, -1)
-                src = np.repeat(np.arange(nodes), np.diff(off))
-                for i in range(0, max(entries, 1), step):
-                    out = {"src": src[i : i + step], "dst": data[i : i + step, 0].astype(np.int64) if entries else np.zeros(0, np.int64)}
-                    if weighted:
-                        out["w"] = data[i : i + step, 1] if entries else np.zeros(0, np.int32)
-                    yield pd.DataFrame(out)
-
-    edges = file.mapInPandas(decode, "src bigint, dst bigint" + (", w int" if weighted else ""))
+                file = pyarrow.BufferReader(content)
+                for lo in range(0, entries, SLICE):
+                    for part in _decoded(file, lo, min(lo + SLICE, entries), _vertex_of(file, lo, nodes), nodes, weighted):
+                        yield frame(*part)
+
+    schema = "src bigint, dst bigint" + (", w int" if weighted else "")
+    try:
+        opened().close()
+        count = -(-entries // SLICE)
+        tasks = max(1, min(count, max(spark.sparkContext.defaultParallelism, -(-count // SLICES))))
+        edges = spark.range(0, count, 1, tasks).mapInPandas(slices, schema)
+    except (pyarrow.ArrowException, OSError):
+        edges = spark.read.format("binaryFile").load(path).select("content").mapInPandas(whole, schema)
     edges, _ = Tables(spark, "serialized").write(edges, "edges")
     return Graph(spark, edges, nodes, directed, weighted, _entries=entries)

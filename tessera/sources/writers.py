@@ -11,7 +11,7 @@ from tessera.plans.loop import Tables
 from tessera.sources.readers import GraphFormatError
 
 _INT32 = 2**31 - 1
-#: Values that one write to a file takes.
+#: Values that one write to a file takes, about.
 _CHUNK = 1 << 18
 
 
@@ -22,7 +22,7 @@ def write_edge_list(graph: Graph, path: str) -> None:
 
 
 def write_serialized(graph: Graph, path: str) -> None:
-    """The binary form, one file. Entries are streamed to it in order, a chunk at a time; ids and weights must fit 32 bits."""
+    """The binary form, one file. Chunks are streamed to it in order; ids and weights must fit 32 bits."""
     if graph.num_nodes - 1 > _INT32:
         raise GraphFormatError("ids don't fit 32 bits")
     if graph.weighted and (graph.edges.agg(F.max(F.abs("w"))).first()[0] or 0) > _INT32:
@@ -43,14 +43,23 @@ def write_serialized(graph: Graph, path: str) -> None:
 
 
 def _stream(rows: DataFrame, out, kind: str) -> None:
-    held: list = []
-    for r in rows.toLocalIterator(prefetchPartitions=True):
-        held.extend(r)
-        if len(held) >= _CHUNK:
-            out.write(bytearray(np.array(held, kind).tobytes()))
-            held = []
-    if held:
-        out.write(bytearray(np.array(held, kind).tobytes()))
+    """Values of rows in their order. Tasks make the bytes, so that the driver only passes chunks on: the form is one file."""
+
+    def pack(batches):
+        import pandas as pd
+
+        held, size = [], 0
+        for b in batches:
+            held.append(b.to_numpy(kind).tobytes())
+            size += b.size
+            if size >= _CHUNK:
+                yield pd.DataFrame({"bytes": [b"".join(held)]})
+                held, size = [], 0
+        if held:
+            yield pd.DataFrame({"bytes": [b"".join(held)]})
+
+    for r in rows.mapInPandas(pack, "bytes binary").toLocalIterator(prefetchPartitions=True):
+        out.write(bytearray(r.bytes))
 
 
 def write_graph(graph: Graph, path: str, serialized: bool = False) -> None:

@@ -62,6 +62,40 @@ def test_serialized_round_trip(spark, tmp_path, symmetrize, weighted):
     assert rows(back.edges) == rows(g.edges)
 
 
+def test_serialized_in_slices(spark, tmp_path, monkeypatch):
+    """Slices that begin and end within a vertex, blocks of offsets without an entry, and the fallback of one row."""
+    import pyarrow
+
+    r = np.random.default_rng(5)
+    degrees = np.where(r.random(300) < 0.8, 0, r.integers(0, 60, 300))
+    src, dst = np.repeat(np.arange(300), degrees), r.integers(0, 300, degrees.sum())
+    offsets = np.concatenate([[0], np.cumsum(degrees)])
+    raw = np.array([False]).tobytes() + np.array([len(src), 300, *offsets], "<i8").tobytes() + dst.astype("<i4").tobytes()
+    monkeypatch.setattr(readers, "OFFSETS", 7)
+    monkeypatch.setattr(readers, "SLICE", 31)
+    monkeypatch.setattr(readers, "SLICES", 2)
+    file = pyarrow.BufferReader(raw)
+    for lo, hi in ((0, len(src)), (1, 2), (17, 300)):
+        parts = list(readers._decoded(file, lo, hi, readers._vertex_of(file, lo, 300), 300, False))
+        assert np.concatenate([p[0] for p in parts]).tolist() == src[lo:hi].tolist()
+        assert np.concatenate([p[1][:, 0] for p in parts]).tolist() == dst[lo:hi].tolist()
+    want = sorted(zip(src.tolist(), dst.tolist(), strict=True))
+    path = put(tmp_path, "s.sg", raw)
+    assert sorted(tuple(e) for e in readers.read_serialized(spark, path).edges.collect()) == want
+    monkeypatch.setattr("pyarrow.fs.LocalFileSystem", lambda: (_ for _ in ()).throw(OSError()))
+    assert sorted(tuple(e) for e in readers.read_serialized(spark, path).edges.collect()) == want
+
+
+def test_serialized_cut_short_missing_and_empty(spark, tmp_path):
+    head = np.array([False]).tobytes()
+    with pytest.raises(readers.GraphFormatError):
+        readers.read_serialized(spark, put(tmp_path, "c.sg", head + np.array([4, 2, 0, 2, 4], "<i8").tobytes()))
+    with pytest.raises(FileNotFoundError):
+        readers.read_serialized(spark, f"{tmp_path}/none.sg")
+    g = readers.read_serialized(spark, put(tmp_path, "e.sg", head + np.array([0, 2, 0, 0, 0], "<i8").tobytes()))
+    assert (g.num_nodes, g.num_entries, g.edges.count()) == (2, 0, 0)
+
+
 def test_edge_list_and_convert(spark, tmp_path):
     g = graph(spark, T1, True)
     writers.write_graph(g, f"{tmp_path}/a.wel")
