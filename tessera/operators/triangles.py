@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from tessera.plans.graph import Graph
 
 
-def _oriented(graph: Graph) -> tuple[DataFrame, DataFrame]:
-    """Edges from the end of lower (degree, id) to the other, and each vertex's sorted list of such neighbours.
+def _lists(graph: Graph) -> DataFrame:
+    """(u, list): a vertex and its neighbours of higher (degree, id), in that order.
 
     No list is longer than the square root of twice the number of edges, however large a hub is.
     """
@@ -18,18 +18,22 @@ def _oriented(graph: Graph) -> tuple[DataFrame, DataFrame]:
     e = graph.edges.select("src", "dst")
     degree = e.groupBy(F.col("src").alias("v")).agg(F.count("*").alias("d"))
     ends = e.where("src < dst").join(degree.select(F.col("v").alias("src"), F.col("d").alias("a")), "src").join(degree.select(F.col("v").alias("dst"), F.col("d").alias("b")), "dst")
-    turn = (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("src") < F.col("dst")))
-    out = ends.select(F.when(turn, F.col("src")).otherwise(F.col("dst")).alias("u"), F.when(turn, F.col("dst")).otherwise(F.col("src")).alias("v"))
-    lists = out.groupBy("u").agg(F.collect_list("v").alias("list"))
-    return out, lists
+    low, high = F.struct(F.col("a").alias("d"), F.col("src").alias("v")), F.struct(F.col("b").alias("d"), F.col("dst").alias("v"))
+    out = ends.select(F.least(low, high).alias("low"), F.greatest(low, high).alias("high"))
+    return out.groupBy(F.col("low.v").alias("u")).agg(F.sort_array(F.collect_list("high"))["v"].alias("list"))
 
 
 def _closed(graph: Graph) -> DataFrame:
-    """(u, v, thirds): for each oriented edge the vertices that close a triangle with it. Each triangle appears once."""
-    _, lists = _oriented(graph)
-    wedges = lists.select("u", "list", F.explode("list").alias("v"))
+    """(u, v, thirds): for each oriented edge the vertices that close a triangle with it. Each triangle appears once.
+
+    A third vertex comes after v in the list of u, so v gets only the rest of that list, and the last of a list gets nothing:
+    half of what whole lists would take, and no row at all for the many vertices with a list of one.
+    """
+    lists = _lists(graph)
+    rest = lists.where(F.size("list") > 1).select("u", "list", F.posexplode("list").alias("at", "v")).where(F.col("at") < F.size("list") - 1)
+    wedges = rest.select("u", "v", F.slice("list", F.col("at") + 2, F.size("list")).alias("rest"))
     other = lists.select(F.col("u").alias("v"), F.col("list").alias("other"))
-    return wedges.join(other, "v").select("u", "v", F.array_intersect("list", "other").alias("thirds"))
+    return wedges.join(other, "v").select("u", "v", F.array_intersect("rest", "other").alias("thirds"))
 
 
 def triangle_count(graph: Graph) -> DataFrame:
