@@ -19,6 +19,16 @@ def unit(*keys) -> Column:
     return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
 
 
+def fenced(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with ``columns`` last, as one element of an array that is taken out again: no filter on them is pushed below.
+
+    A filter pushed through a chain of projections repeats all their expressions, which for a permutation is more than
+    the compiler takes.
+    """
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.inline(F.array(F.struct(*columns))))
+
+
 def permuted(df: DataFrame, columns: list[str], bits: int, seed: int, rounds: int = 4) -> DataFrame:
     """``df`` with ids 0..2**bits-1 in ``columns`` replaced by a pseudo-random permutation of them.
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import fenced
 from tessera.plans.graph import Graph, from_edges
 from tessera.plans.loop import Tables
 from tessera.sources.generators import DEGREE, SEED, generate_edges, with_weights
@@ -23,9 +26,23 @@ def load_graph(spark: SparkSession, path: str, *, symmetrize: bool = False, weig
     return from_raw(read_edges(spark, path), symmetrize=symmetrize, weighted=weighted, seed=seed, tables=tables)
 
 
+@contextlib.contextmanager
+def _small_methods(spark: SparkSession):
+    """Meanwhile, stages whose compiled method the JVM wouldn't optimise, beyond 8000 bytes, are run as smaller methods."""
+    key = "spark.sql.codegen.hugeMethodLimit"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), 8000)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def generate_graph(spark: SparkSession, scale: int, degree: int = DEGREE, *, uniform: bool = False, weighted: bool = False, seed: int = SEED, tables: Tables | None = None) -> Graph:
     """An undirected synthetic graph."""
-    return from_raw(generate_edges(spark, scale, degree, uniform=uniform, seed=seed), symmetrize=True, weighted=weighted, seed=seed, tables=tables)
+    raw = fenced(generate_edges(spark, scale, degree, uniform=uniform, seed=seed), ["src", "dst"])
+    with _small_methods(spark):  # the edges are written in here
+        return from_raw(raw, symmetrize=True, weighted=weighted, seed=seed, tables=tables)
 
 
 def from_raw(raw: DataFrame, *, symmetrize: bool, weighted: bool, seed: int = SEED, tables: Tables | None = None) -> Graph:

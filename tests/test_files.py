@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tessera.sources import generators, readers, writers
-from tessera.sources.load import generate_graph, load_graph
+from tessera.sources.load import from_raw, generate_graph, load_graph
 from tests.golden import CYCLE, T1, graph, rows
 
 FILES = {
@@ -143,3 +143,10 @@ def test_generators(spark):
     assert tuple(w) == (1, 255)
     g = generate_graph(spark, 6, weighted=True)
     assert not g.directed and g.weighted and g.num_nodes <= 64
+
+
+def test_generated_graph_is_that_of_its_edges(spark):
+    limit = spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+    g, plain = generate_graph(spark, 7, 4, weighted=True), from_raw(generators.generate_edges(spark, 7, 4), symmetrize=True, weighted=True)
+    assert rows(g.edges) == rows(plain.edges) and g.num_nodes == plain.num_nodes
+    assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == limit
