@@ -220,6 +220,11 @@ def cc_afforest(spark, sf):
     return components.afforest(derived.sparse(spark, sf))
 
 
+@register("cc_afforest_flow", "SELECT id, comp FROM c", ctes=CC)
+def cc_afforest_flow(spark, sf):
+    return components.afforest(derived.flow(spark, sf))
+
+
 @register("cc_isolated", "SELECT id, comp FROM c", ctes=CC, base=SPARSE)
 def cc_isolated(spark, sf):
     return components.shiloach_vishkin(derived.sparse(spark, sf, symmetrize=True))
@@ -362,6 +367,12 @@ def verify_cc(spark, sf):
     return verify.verify_cc(g, components.afforest(g))
 
 
+@register("verify_cc_flow", "SELECT 0::BIGINT AS cross_edges, 0::BIGINT AS bad_labels, 0::BIGINT AS bad_rows, 0::BIGINT AS label_difference")
+def verify_cc_flow(spark, sf):
+    g = derived.flow(spark, sf)
+    return verify.verify_cc(g, components.afforest(g))
+
+
 @register("verify_pr_residual", "SELECT 0 AS not_converged")
 def verify_pr_residual(spark, sf):
     g = derived.flow(spark, sf, symmetrize=True)
@@ -375,6 +386,13 @@ def verify_bc(spark, sf):
     return verify.verify_betweenness(g, sources, betweenness.betweenness(g, sources))
 
 
+@register("verify_bc_flow", "SELECT 0::BIGINT AS different")
+def verify_bc_flow(spark, sf):
+    g = derived.flow(spark, sf, symmetrize=True)
+    sources = analysis.pick_sources(g, 2)
+    return verify.verify_betweenness(g, sources, betweenness.betweenness(g, sources))
+
+
 @register("verify_tc_setintersect", "SELECT 0::BIGINT AS difference")
 def verify_tc_setintersect(spark, sf):
     g = derived.flow(spark, sf, symmetrize=True)
