@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.columns import numbered
 from tessera.plans.graph import Graph
 from tessera.plans.loop import Tables
 from tessera.sources.readers import GraphFormatError
@@ -22,26 +23,84 @@ def write_edge_list(graph: Graph, path: str) -> None:
 
 
 def write_serialized(graph: Graph, path: str) -> None:
-    """The binary form, one file. Chunks are streamed to it in order; ids and weights must fit 32 bits."""
+    """The binary form, one file; ids and weights must fit 32 bits.
+
+    Every value's place in the file is known, so in a file system that is mounted (``file:``) tasks put them there and nothing
+    passes through the driver. Others have no writes at a place: there the driver streams chunks in order.
+    """
     if graph.num_nodes - 1 > _INT32:
         raise GraphFormatError("ids don't fit 32 bits")
     if graph.weighted and (graph.edges.agg(F.max(F.abs("w"))).first()[0] or 0) > _INT32:
         raise GraphFormatError("weights don't fit 32 bits")
     spark = graph.spark
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at, True)
+    files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    head = np.array([graph.directed], "?").tobytes() + np.array([graph.num_entries, graph.num_nodes], "<i8").tobytes()
+    parts = (graph, graph.transpose()) if graph.directed else (graph,)
+    uri = files.makeQualified(at).toUri()
+    if uri.getScheme() == "file":
+        files.delete(at, False)  # its checksums go too
+        files.mkdirs(files.makeQualified(at).getParent())
+        _put(parts, head, uri.getPath())
+        return
+    out = files.create(at, True)
     try:
-        out.write(bytearray(np.array([graph.directed], "?").tobytes() + np.array([graph.num_entries, graph.num_nodes], "<i8").tobytes()))
-        for part in (graph, graph.transpose()) if graph.directed else (graph,):
-            offsets = part.adjacency_offsets().orderBy("id").select(F.col("offset").alias("a"))
-            _stream(offsets, out, "<i8")
+        out.write(bytearray(head))
+        for part in parts:
+            _stream(part.adjacency_offsets().orderBy("id").select(F.col("offset").alias("a")), out, "<i8")
             out.write(bytearray(np.array([graph.num_entries], "<i8").tobytes()))
-            pair = part.edges.orderBy("src", "dst")
-            _stream(pair.select(F.col("dst").cast("int").alias("a"), *([F.col("w").alias("b")] if graph.weighted else [])), out, "<i4")
+            _stream(part.edges.orderBy("src", "dst").select(*_entry(part)), out, "<i4")
     finally:
         out.close()
 
 
+def _entry(graph: Graph) -> list:
+    return [F.col("dst").cast("int").alias("a"), *([F.col("w").alias("b")] if graph.weighted else [])]
+
+
+def _put(parts: tuple[Graph, ...], head: bytes, name: str) -> None:
+    """Makes the file and lets tasks put offsets and entries at their places."""
+    nodes, entries, width = parts[0].num_nodes, parts[0].num_entries, 8 if parts[0].weighted else 4
+    with open(name, "wb") as file:
+        file.write(head)
+        for i in range(len(parts)):
+            file.seek(len(head) + i * (8 * (nodes + 1) + width * entries) + 8 * nodes)
+            file.write(np.array([entries], "<i8").tobytes())
+        file.truncate(len(head) + len(parts) * (8 * (nodes + 1) + width * entries))
+    start = len(head)
+    for part in parts:
+        tables = Tables(part.spark, "places")
+        offsets = part.adjacency_offsets().select(F.col("id").alias("k"), F.col("offset").alias("a")).sortWithinPartitions("k")
+        _at_places(offsets, nodes, name, start, "<i8")
+        start += 8 * (nodes + 1)
+        _at_places(numbered(part.edges, [F.col("src"), F.col("dst")], "k", tables).select("k", *_entry(part)), entries, name, start, "<i4")
+        start += width * entries
+        for path in list(tables.made["k"]):
+            tables.drop(path)
+
+
+def _at_places(rows: DataFrame, n: int, name: str, start: int, kind: str) -> None:
+    """Puts the values of ``n`` rows into a file by their number k. Doing it twice does no harm, so tasks may be repeated."""
+
+    def put(batches):
+        import pandas as pd
+
+        done = 0
+        with open(name, "r+b") as file:
+            for b in batches:
+                k, data = b["k"].to_numpy(), b.drop(columns="k").to_numpy(kind)
+                cuts = [0, *(np.flatnonzero(np.diff(k) != 1) + 1).tolist(), len(k)]
+                for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                    if lo < hi:
+                        file.seek(start + data.itemsize * data.shape[1] * int(k[lo]))
+                        file.write(data[lo:hi].tobytes())
+                done += len(k)
+        yield pd.DataFrame({"n": [done]})
+
+    if (rows.mapInPandas(put, "n bigint").agg(F.sum("n")).first()[0] or 0) != n:
+        raise GraphFormatError(f"{name}: rows are missing")
+
+
 def _stream(rows: DataFrame, out, kind: str) -> None:
     """Values of rows in their order. Tasks make the bytes, so that the driver only passes chunks on: the form is one file."""
 

@@ -62,6 +62,26 @@ def test_serialized_round_trip(spark, tmp_path, symmetrize, weighted):
     assert rows(back.edges) == rows(g.edges)
 
 
+@pytest.mark.parametrize("symmetrize", [False, True])
+def test_serialized_bypasses_the_driver(spark, tmp_path, monkeypatch, symmetrize):
+    """Tasks write to a mounted file; elsewhere the driver streams. Both give the same bytes, over an older and longer file too."""
+    r = np.random.default_rng(3)
+    g = graph(spark, [(int(a), int(b), int(w)) for a, b, w in r.integers(0, 90, (700, 3))], symmetrize)
+    path = put(tmp_path, "g.wsg", b"x" * 100_000)
+    streamed = bytearray()
+    monkeypatch.setattr(writers, "_stream", lambda rows, out, kind: streamed.extend(np.array([list(x) for x in rows.collect()], kind).tobytes()))
+    writers.write_serialized(g, path)
+    assert not streamed
+    n, m = g.num_nodes, g.num_entries
+    want = np.array([g.directed]).tobytes() + np.array([m, n], "<i8").tobytes()
+    for part in (g, g.transpose())[: 2 if g.directed else 1]:
+        e = sorted(rows(part.edges.select("src", "dst", "w")))
+        offsets = np.searchsorted([x[0] for x in e], np.arange(n + 1))
+        want += offsets.astype("<i8").tobytes() + np.array([x[1:] for x in e], "<i4").tobytes()
+    assert (tmp_path / "g.wsg").read_bytes() == want
+    assert rows(readers.read_serialized(spark, path).edges) == rows(g.edges.select("src", "dst", "w"))
+
+
 def test_serialized_in_slices(spark, tmp_path, monkeypatch):
     """Slices that begin and end within a vertex, blocks of offsets without an entry, and the fallback of one row."""
     import pyarrow
