@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.plans.graph import Graph, KeptEdges
+from tessera.plans.graph import Graph
 from tessera.plans.loop import Tables
 
 DAMPING = 0.85
@@ -24,23 +25,36 @@ def pagerank(graph: Graph, max_iters: int = 20, epsilon: float = 1e-4, damping:
     """Every score is (1 - damping) / N plus damping times what its in-neighbours share out equally.
 
     Vertices without out-edges share nothing, so scores need not sum to 1. Stops once the scores changed by less than
-    ``epsilon`` in all. The degree is part of the edges, which stay partitioned by source: an iteration shuffles
-    scores and partial sums, never edges.
+    ``epsilon`` in all. An iteration shuffles one sum for each vertex that a block of edges reaches, never edges.
     """
     n, tables = graph.num_nodes, Tables(graph.spark, "pagerank")
-    degree = graph.edges.groupBy("src").agg(F.count("*").alias("degree"))
-    edges = KeptEdges(graph.edges.select("src", "dst").join(degree, "src"), graph.num_entries)
-    scores, _ = tables.write(graph.vertices().select("id", F.lit(1.0 / n if n else 0.0).alias("score")), "scores")
+    blocks = graph.blocks()
+    form = np.dtype([("score", "<f8"), ("degree", "<f8")])
+
+    def begin(ids: np.ndarray) -> bytes:
+        x = np.zeros(len(ids), form)
+        x["score"] = 1.0 / n
+        return x.tobytes()
+
+    def with_degrees(x: bytes, got: np.ndarray):
+        x = np.frombuffer(x, form).copy()
+        x["degree"] = got
+        return x.tobytes(), None
+
+    def share(x: bytes) -> np.ndarray:
+        x = np.frombuffer(x, form)
+        return np.divide(x["score"], x["degree"], out=np.zeros(len(x)), where=x["degree"] > 0)
+
+    def pulled(x: bytes, got: np.ndarray):
+        x = np.frombuffer(x, form).copy()
+        old, x["score"] = x["score"].copy(), (1 - damping) / n + damping * got
+        return x.tobytes(), float(np.abs(x["score"] - old).sum())
+
     done, error = 0, float("inf")
-    try:
-        while done < max_iters:
-            given = edges.along(scores.select(F.col("id").alias("src"), "score")).groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("score") / F.col("degree")).alias("got"))
-            after = scores.withColumnRenamed("score", "old").join(given, "id", "left").select("id", "old", (F.lit((1 - damping) / n if n else 0.0) + F.lit(damping) * F.coalesce("got", F.lit(0.0))).alias("score"))
-            scores, seen = tables.write(after, "scores", 2, change=F.sum(F.abs(F.col("score") - F.col("old"))))
-            scores = scores.select("id", "score")
-            done, error = done + 1, float(seen["change"] or 0.0)
-            if error < epsilon:
-                break
-    finally:
-        edges.edges.unpersist()
-    return Ranks(scores, done, error)
+    state, _ = tables.write(blocks.degrees(blocks.start(begin), with_degrees), "scores")
+    while done < max_iters:
+        state, seen = tables.write(blocks.step(state, share, "add", pulled), "scores", 2, change=F.sum("figure"))
+        done, error = done + 1, float(seen["change"] or 0.0)
+        if error < epsilon:
+            break
+    return Ranks(blocks.rows(state, lambda x: np.frombuffer(x, form)["score"], "score", "double"), done, error)

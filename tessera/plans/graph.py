@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import weakref
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,9 @@ from pyspark.sql import functions as F
 from tessera.functions.columns import numbered
 from tessera.plans.loop import Tables
 
+if TYPE_CHECKING:
+    from tessera.plans.blocks import Blocks
+
 SCHEMA = "src bigint, dst bigint"
 WEIGHTED_SCHEMA = "src bigint, dst bigint, w int"
 
@@ -66,6 +70,7 @@ class Graph:
     directed: bool
     weighted: bool = False
     _kept: KeptEdges | None = field(default=None, repr=False)
+    _blocks: Blocks | None = field(default=None, repr=False)
     _entries: int | None = field(default=None, repr=False)
 
     # --- sizes
@@ -96,7 +101,18 @@ class Graph:
             self._kept = KeptEdges(self.edges, self.num_entries)
         return self._kept
 
+    def blocks(self) -> Blocks:
+        """The edges as arrays, made and kept in the same way."""
+        from tessera.plans.blocks import Blocks
+
+        if self._blocks is None:
+            self._blocks = Blocks(self.edges, self.num_nodes, self.num_entries)
+        return self._blocks
+
     def release(self) -> None:
+        if self._blocks is not None:
+            self._blocks.release()
+            self._blocks = None
         if self._kept is not None:
             _unpersist(self._kept.edges)
             self._kept = None
