@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.plans.blocks import NEUTRAL
 from tessera.plans.graph import Graph
 from tessera.plans.loop import Tables
 
-#: Steps after which the distances become one table.
+#: Without effect, as every step writes all distances; it stays for those who set it.
 COMPACT = 32
 #: Fixed value: the distance of what can't be reached.
 UNREACHED = 1073741823
@@ -18,9 +20,8 @@ def sssp(graph: Graph, source: int, delta: int | None = None) -> DataFrame:
     """(id, dist): the least sum of weights from ``source``; ``UNREACHED`` where there is no path shorter than that.
 
     Vertices whose distance fell wait for their edges to be relaxed. A step takes those in the lowest bucket of width
-    ``delta`` (all of them where it is None); the result is the same for any width. A step writes what its relaxed edges offer,
-    and then the vertices that wait after it, of which the improved ones are fresh. The least of a vertex's fresh rows is its
-    distance, so no step rewrites the distances of all; they become one table now and then.
+    ``delta`` (all of them where it is None); the result is the same for any width. Distances and who waits are five bytes a
+    vertex, so a step writes them whole; it shuffles the least offer of a block of edges to each vertex.
     """
     if not graph.weighted:
         raise ValueError("shortest paths need weights")
@@ -28,26 +29,29 @@ def sssp(graph: Graph, source: int, delta: int | None = None) -> DataFrame:
         raise ValueError("delta must be positive")
     if not 0 <= source < graph.num_nodes:
         raise ValueError(f"source {source} is not a vertex")
-    spark, tables = graph.spark, Tables(graph.spark, "sssp")
-    edges = graph.kept()
-    first = spark.range(source, source + 1).select("id", F.lit(0).cast("bigint").alias("dist"), F.lit(True).alias("fresh"))
-    waits, seen = tables.write(first, "step", least=F.min("dist"))
-    parts, known = list(tables.made["step"]), waits
-    while seen["least"] is not None:
-        now = F.lit(True) if delta is None else F.col("dist") < (seen["least"] // delta + 1) * delta
-        ends = edges.along(waits.where(now).select(F.col("id").alias("src"), "dist"))
-        offers = ends.select(F.col("dst").alias("id"), (F.col("dist") + F.col("w")).alias("d")).where(F.col("d") < UNREACHED).groupBy("id").agg(F.min("d").alias("d"))
-        offers, _ = tables.write(offers, "offers", 2)
-        held = known.where("fresh").join(offers.select("id"), "id", "left_semi").groupBy("id").agg(F.min("dist").alias("held"))
-        better = offers.join(held, "id", "left").where("held IS NULL OR d < held").select("id", F.col("d").alias("dist"), F.lit(True).alias("fresh"))
-        after = waits.where(~now).select("id", "dist", F.lit(False).alias("fresh")).unionByName(better).groupBy("id").agg(F.min("dist").alias("dist"), F.bool_or("fresh").alias("fresh"))
-        waits, seen = tables.write(after, "step", least=F.min("dist"))
-        parts.append(tables.made["step"][-1])
-        known = spark.read.schema(after.schema).parquet(*parts)
-        if len(parts) >= COMPACT:
-            known, _ = tables.write(known.where("fresh").groupBy("id").agg(F.min("dist").alias("dist")).withColumn("fresh", F.lit(True)), "known", keep=1)
-            for path in parts[:-1]:
-                tables.drop(path)
-            parts = list(tables.made["known"])
-    reached = known.where("fresh").groupBy("id").agg(F.min("dist").alias("dist"))
-    return graph.vertices().join(reached, "id", "left").select("id", F.coalesce("dist", F.lit(UNREACHED)).cast("bigint").alias("dist"))
+    tables, blocks = Tables(graph.spark, "sssp"), graph.blocks()
+    form = np.dtype([("dist", "<i4"), ("waits", "?")])
+
+    def begin(ids: np.ndarray) -> bytes:
+        x = np.zeros(len(ids), form)
+        x["dist"], x["waits"] = np.where(ids == source, 0, UNREACHED), ids == source
+        return x.tobytes()
+
+    state, least = blocks.start(begin), 0
+    while least is not None:
+        end = UNREACHED if delta is None else (least // delta + 1) * delta
+
+        def waiting(x: bytes, end: int = end) -> np.ndarray:
+            x = np.frombuffer(x, form)
+            return np.where(x["waits"] & (x["dist"] < end), x["dist"].astype(np.int64), NEUTRAL["least"])
+
+        def offered(x: bytes, got: np.ndarray, end: int = end):
+            x = np.frombuffer(x, form).copy()
+            better = got < x["dist"]
+            x["waits"] = x["waits"] & (x["dist"] >= end) | better
+            x["dist"] = np.where(better, got, x["dist"])
+            return x.tobytes(), float(x["dist"][x["waits"]].min()) if x["waits"].any() else None
+
+        state, seen = tables.write(blocks.step(state, waiting, "least", offered), "step", 2, least=F.min("figure"))
+        least = None if seen["least"] is None else int(seen["least"])
+    return blocks.rows(state, lambda x: np.frombuffer(x, form)["dist"].astype(np.int64), "dist", "bigint")

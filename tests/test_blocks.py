@@ -5,9 +5,10 @@ import random
 import numpy as np
 import pytest
 
-from tessera.operators import pagerank
+from tessera.operators import betweenness, pagerank, sssp, verify
 from tessera.plans import blocks
-from tests.test_hubs import edges_of
+from tessera.plans.loop import Tables
+from tests.test_hubs import dijkstra, edges_of
 
 
 @pytest.fixture
@@ -70,3 +71,21 @@ def test_places_far_apart():
         at = np.array(sorted({r.randrange(1 << 18) if span > 200 else i * span for i in range(50)}))
         p, size, first, raw, x = blocks._message(4, at, np.arange(len(at)))
         assert p == 4 and blocks._places(size, first, raw).tolist() == at.tolist() and np.frombuffer(x, "<i4").tolist() == list(range(len(at)))
+
+
+@pytest.mark.parametrize("delta", [None, 1, 4])
+def test_shortest_paths(build, small, delta):
+    edges = edges_of()
+    got = {r.id: r.dist for r in sssp.sssp(build(edges, num_nodes=63), 8, delta).collect()}
+    assert got == dijkstra(edges, 63, 8)
+
+
+def test_shortest_paths_make_one_table_a_step(build, small, monkeypatch):
+    """Five edges in a row are six steps; each writes one table, of which two stay."""
+    written = []
+    write = Tables.write
+    monkeypatch.setattr(Tables, "write", lambda self, df, name, *a, **b: written.append(name) or write(self, df, name, *a, **b))
+    g = build([(i, i + 1, 2) for i in range(5)])
+    written.clear()
+    assert [r.dist for r in sssp.sssp(g, 0).orderBy("id").collect()] == [0, 2, 4, 6, 8, 10]
+    assert written.count("step") == 6 and "offers" not in written
