@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.pagerank import DAMPING
 from tessera.operators.sssp import UNREACHED
-from tessera.plans.graph import Graph
+from tessera.plans.blocks import Blocks
+from tessera.plans.graph import Graph, reversed_edges
+from tessera.plans.loop import Tables
 
 
 def _bad(condition: Column, name: str) -> Column:
@@ -87,31 +92,59 @@ def differing(a: DataFrame, b: DataFrame, column: str, tolerance: float) -> Data
 
 
 def verify_betweenness(graph: Graph, sources: list[int], scores: DataFrame, tolerance: float = 1e-7) -> DataFrame:
-    """Brandes' algorithm once more, serially and in memory; for graphs that fit the driver."""
-    from collections import deque
-
-    adjacent: list[list[int]] = [[] for _ in range(graph.num_nodes)]
-    for r in graph.edges.select("src", "dst").orderBy("src", "dst").toLocalIterator():
-        adjacent[r.src].append(r.dst)
-    total = [0.0] * graph.num_nodes
-    for s in sources:
-        depth, sigma, order, queue = {s: 0}, {s: 1.0}, [], deque([s])
-        while queue:
-            u = queue.popleft()
-            order.append(u)
-            for v in adjacent[u]:
-                if v not in depth:
-                    depth[v], sigma[v] = depth[u] + 1, 0.0
-                    queue.append(v)
-                if depth[v] == depth[u] + 1:
-                    sigma[v] += sigma[u]
-        delta = dict.fromkeys(order, 0.0)
-        for u in reversed(order):
-            delta[u] = sum(sigma[u] / sigma[v] * (1 + delta[v]) for v in adjacent[u] if depth[v] == depth[u] + 1)
-            total[u] += delta[u]
-    top = max(total, default=0.0)
-    rows = [(i, x / top if top else 0.0) for i, x in enumerate(total)]
-    return differing(scores, graph.spark.createDataFrame(rows, "id bigint, score double"), "score", tolerance)
+    """Brandes' algorithm once more, one source at a time over edges as arrays, by other code than the kernel's and without its
+    tables of levels. The state is 28 bytes a vertex, in ranges; the driver holds none of it."""
+    tables, forth = Tables(graph.spark, "brandes"), graph.blocks()
+    back = Blocks(reversed_edges(graph.edges.select("src", "dst")), graph.num_nodes, graph.num_entries) if graph.directed else forth
+    form = np.dtype([("depth", "<i4"), ("sigma", "<f8"), ("delta", "<f8"), ("total", "<f8")])
+    state, before = forth.start(lambda ids: np.zeros(len(ids), form).tobytes()), 0
+    for source, times in [*Counter(sources).items(), (None, 0)]:
+
+        def begin(x: bytes, first: int, source: int | None = source, before: int = before) -> bytes:
+            x = np.frombuffer(x, form).copy()
+            x["total"] += before * x["delta"]
+            x["depth"], x["sigma"], x["delta"] = -1, 0.0, 0.0
+            if source is not None and 0 <= source - first < len(x):
+                x["depth"][source - first], x["sigma"][source - first] = 0, 1.0
+            return x.tobytes()
+
+        state, before = forth.each(state, begin), times
+        if source is None:
+            break
+        depth, found = -1, 1
+        while found:
+            depth += 1
+
+            def paths(x: bytes, depth: int = depth) -> np.ndarray:
+                x = np.frombuffer(x, form)
+                return np.where(x["depth"] == depth, x["sigma"], 0.0)
+
+            def counted(x: bytes, got: np.ndarray, depth: int = depth):
+                x = np.frombuffer(x, form).copy()
+                new = (x["depth"] < 0) & (got > 0)
+                x["depth"][new], x["sigma"][new] = depth + 1, got[new]
+                return x.tobytes(), float(new.sum())
+
+            state, seen = tables.write(forth.step(state, paths, "add", counted), "state", 2, found=F.sum("figure"))
+            found = seen["found"]
+        for level in range(depth - 1, -1, -1):
+
+            def shares(x: bytes, level: int = level) -> np.ndarray:
+                x = np.frombuffer(x, form)
+                return np.divide(1 + x["delta"], x["sigma"], out=np.zeros(len(x)), where=x["depth"] == level + 1)
+
+            def depend(x: bytes, got: np.ndarray, level: int = level):
+                x = np.frombuffer(x, form).copy()
+                here = x["depth"] == level
+                x["delta"][here] = x["sigma"][here] * got[here]
+                return x.tobytes(), None
+
+            state, _ = tables.write(back.step(state, shares, "add", depend), "state", 2)
+    if back is not forth:
+        back.release()
+    totals = forth.rows(state, lambda x: np.frombuffer(x, form)["total"], "total", "double")
+    top = totals.agg(F.max("total")).first()[0] or 0.0
+    return differing(scores, totals.select("id", (F.col("total") / top if top else F.lit(0.0)).alias("score")), "score", tolerance)
 
 
 def verify_triangles(graph: Graph, count: int) -> DataFrame:

@@ -89,3 +89,13 @@ def test_shortest_paths_make_one_table_a_step(build, small, monkeypatch):
     written.clear()
     assert [r.dist for r in sssp.sssp(g, 0).orderBy("id").collect()] == [0, 2, 4, 6, 8, 10]
     assert written.count("step") == 6 and "offers" not in written
+
+
+@pytest.mark.parametrize("symmetrize", [False, True])
+def test_verify_betweenness_away_from_the_driver(build, small, monkeypatch, symmetrize):
+    g = build(edges_of(), symmetrize=symmetrize)
+    monkeypatch.setattr("pyspark.sql.DataFrame.toLocalIterator", None)
+    scores = betweenness.betweenness(g, [0, 3, 8])
+    assert not any(verify.verify_betweenness(g, [0, 3, 8], scores).first())
+    assert verify.verify_betweenness(g, [0, 3, 8], scores.selectExpr("id", "if(id in (3, 9), score + 1e-6, score) score")).first()[0] == 2
+    assert verify.verify_betweenness(g, [0, 3], scores).first()[0] > 0
