@@ -99,3 +99,16 @@ def test_verify_betweenness_away_from_the_driver(build, small, monkeypatch, symm
     assert not any(verify.verify_betweenness(g, [0, 3, 8], scores).first())
     assert verify.verify_betweenness(g, [0, 3, 8], scores.selectExpr("id", "if(id in (3, 9), score + 1e-6, score) score")).first()[0] == 2
     assert verify.verify_betweenness(g, [0, 3], scores).first()[0] > 0
+
+
+def test_verify_triangles_takes_no_square_of_a_hub(build):
+    """A hub's list is short where edges lead to it; before, it came whole to each of its neighbours."""
+    g = build([(0, v, 1) for v in range(1, 400)] + [(v, v + 1, 1) for v in range(1, 399)], symmetrize=True)
+    assert not any(verify.verify_triangles(g, 398).first()) and verify.verify_triangles(g, 397).first()[0] == 1
+    sizes = []
+    intersect = verify.F.array_intersect
+    try:
+        verify.F.array_intersect = lambda a, b: sizes.append((a, b)) or verify.F.filter(intersect(a, b), lambda x: verify.F.size(b) < 5)
+        assert not any(verify.verify_triangles(g, 398).first()) and sizes
+    finally:
+        verify.F.array_intersect = intersect
